@@ -200,7 +200,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_id
 
 def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """Decode all files: doc_id, start, n_tokens, ids_crc32 per document."""
-    raw = spark.read.format("binaryFile").load(f"{folder}/*.pfr").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     joined = raw.join(manifest.select("name", "base"), "name")
 
     def run(iterator):
