@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,6 +18,23 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application, unless PYTHONPATH has it."""
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(context.applicationId)
+    at = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted((root / "tessera").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(at))
+
+
 def builder(name: str = "tessera") -> SparkSession.Builder:
     b = SparkSession.builder.appName(name)
     for k, v in SETTINGS.items():
