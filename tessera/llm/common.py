@@ -9,11 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 _written: list = []
 _root: dict = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +55,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder: it survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

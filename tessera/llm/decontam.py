@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize
+from .common import materialize, ship
 
 WINDOW = 13
 BLOCK_WORDS = 400_000
@@ -271,6 +271,7 @@ def detect(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
 
 
 def _broadcast(spark, automata):
+    ship(spark)
     for a in automata:
         yield spark.sparkContext.broadcast(a)
 

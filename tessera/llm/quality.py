@@ -25,9 +25,10 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como".split(),
 }
 CLASSES = ("lower", "upper", "digit", "blank", "punct", "symbol", "extra")
-#: Largest distances that are kept, and the fewest words of a document that is judged by each.
-CHAR_LIMIT, CHAR_WORDS = 0.22, 40
-WORD_LIMIT, WORD_WORDS = 0.45, 120
+#: Largest distances that are kept, and the fewest words of a document that is judged by each. The distance of
+#: common words shrinks with the length of a clean text, so its limit is WORD_LIMIT + WORD_SPREAD / sqrt(words).
+CHAR_LIMIT, CHAR_WORDS = 0.28, 40
+WORD_LIMIT, WORD_SPREAD, WORD_WORDS = 0.165, 1.35, 60
 #: Fewest characters of a language's reference.
 REFERENCE_CHARS = 20_000
 
@@ -146,7 +147,7 @@ def distances(refs: dict, name: str = "__m") -> tuple[Column, Column]:
 def _verdict(name: str, chars: Column, words: Column) -> tuple[Column, Column]:
     m = lambda x: F.col(f"{name}.{x}")
     failed = (m("n_words") < 20) | (100 * m("n_repeat_words") > 30 * m("n_words"))
-    near = F.coalesce(chars <= CHAR_LIMIT, F.lit(True)) & F.coalesce(words <= WORD_LIMIT, F.lit(True))
+    near = F.coalesce(chars <= CHAR_LIMIT, F.lit(True)) & F.coalesce(words <= WORD_LIMIT + WORD_SPREAD / F.sqrt(m("n_words")), F.lit(True))
     return failed, ~failed & near
 
 

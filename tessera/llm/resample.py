@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize, training_ids
+from .common import materialize, ship, training_ids
 from .ranks import split_points
 
 BUCKETS = 1 << 16
 #: Labelled documents in the target model at most.
 TARGET_ROWS = 20_000
 KEEP = 0.9
-SHARPNESS = 40.0
+#: N-grams that each document counts as, whatever its length: its mean log ratio is taken so many times.
+SHARPNESS = 300.0
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -94,6 +95,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, target_rows: int = TARGET_ROWS, seed: int = 0) -> DataFrame:
     """doc_id, log_weight, score, gumbel_key and kept for every row; ``keep`` of the rows are kept."""
+    ship(docs.sparkSession)
     wanted = F.broadcast(training_ids(labels, "quality", 1, target_rows, held=False))
     target = docs.join(wanted, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
     rows = materialize(weigh(docs, log_ratio(counts(target), counts(docs)), seed), "resample")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import training_ids
+from .common import ship, training_ids
 
 TOXIC_ROWS, CLEAN_ROWS = 20_000, 40_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüßáéíóúñàâçèêëîïôùûœæåøãõ"
@@ -296,6 +296,7 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = 0.05, turns: int = 60) -> np.
 def score(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     channel = spark.sparkContext.broadcast(Channel(count_trigrams(rows)))  # A**3 numbers
     pick = {y: F.broadcast(training_ids(labels, "toxic", y, k)) for y, k in ((1, toxic_rows), (0, clean_rows))}
