@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -55,7 +56,7 @@ def decode(x, format: str) -> Column:
     return {"base64": F.unbase64, "hex": F.unhex, "escape": lambda c: F.encode(c, "utf-8")}[format](_c(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ESCAPE(s: pd.Series) -> pd.Series:
     return s.map(lambda b: "".join("\\\\" if c == 92 else chr(c) if 32 <= c < 127 else f"\\{c:03o}" for c in b), na_action="ignore")
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def order(df: DataFrame, *keys: str, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -91,27 +94,33 @@ def scan(df: DataFrame, partition: list[str], order_by: list[str], init, body, r
     """A sequential fold: state and previous row to the next state, for every row in order.
 
     ``init(row)`` gives the state before the first row, ``body(state, row, previous)`` the state after each;
-    rows are dicts and the first has no previous row. One Arrow group per partition key.
+    rows are dicts and the first has no previous row. Rows are sorted by key and order within each partition and
+    streamed through in Arrow batches, so a key's rows are never held together. Without keys one task reads all.
     """
-    names, schema = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def run(pdf):
-        pdf = pdf.sort_values(order_by, kind="stable").reset_index(drop=True)
-        state, previous, out = None, None, []
-        for i, row in enumerate(pdf.to_dict("records")):
-            state = body(init(row) if i == 0 else state, row, previous)
-            previous = row
-            out.append(state)
-        pdf[result] = out
-        return pdf[[*names, result]]
-
-    groups = df.groupBy(*partition) if partition else df.groupBy(F.lit(0))
-    return groups.applyInPandas(run, f"{schema}, `{result}` {kind}")
-
-
-def sessions(df: DataFrame, key: str, ts: str, gap_seconds: float, name: str = "session_id") -> DataFrame:
+    out_type = to_arrow_type(T.DataType.fromDDL(kind))
+    schema = T.StructType([*df.schema, T.StructField(result, T.DataType.fromDDL(kind))])
+
+    def run(iterator):
+        key, state, previous = None, None, None
+        for batch in iterator:
+            out = []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in partition)
+                if previous is None or own != key:
+                    key, state, previous = own, init(row), None
+                state = body(state, row, previous)
+                previous = row
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, out_type)], [*batch.schema.names, result])
+
+    dealt = df.repartition(*[F.col(k) for k in partition]) if partition else df.coalesce(1)
+    keys = [F.col(k).asc() for k in partition] + [F.col(k[1:]).desc_nulls_first() if k[0] == "-" else F.col(k).asc_nulls_last() for k in order_by]
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def sessions(df: DataFrame, key: str, ts: str, gap_seconds: float, name: str = "session_id", tie: str | None = None) -> DataFrame:
     """Numbers from 1 of runs of rows at most a gap apart: the fold as a window, with no Python."""
-    w = Window.partitionBy(key).orderBy(ts)
+    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
     apart = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) > gap_seconds * 1_000_000
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("__new", F.when(apart | F.lag(ts).over(w).isNull(), 1).otherwise(0)).withColumn(name, F.sum("__new").over(running)).drop("__new")
