@@ -29,6 +29,8 @@ from . import bpe, vec
 from .common import fresh_path, materialize, partitions_for
 
 BLOCK = 256
+#: Blocks that are packed or unpacked at once.
+TOGETHER = 1024
 MAGIC = b"PFR1"
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 
@@ -62,6 +64,14 @@ def _unpack(words: np.ndarray, w: int) -> np.ndarray:
     return out.reshape(k, BLOCK)
 
 
+def _alike(width: np.ndarray):
+    """Widths above 0 and the blocks of each, at most ``TOGETHER`` at once: places take 8 bytes for each packed one."""
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        for i in range(0, len(rows), TOGETHER):
+            yield w, rows[i : i + TOGETHER]
+
+
 def dump(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A file's bytes."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
@@ -81,11 +91,9 @@ def dump(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     size = 32 * width.astype(np.int64) + 5 * exceptions
     at = np.cumsum(size) - size
     payload = np.zeros(int(size.sum()), np.uint8)
-    for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
-        if w:
-            packed = _pack(np.where(out[rows], 0, delta[rows]), w).view(np.uint8)
-            payload[at[rows][:, None] + np.arange(32 * w)] = packed
+    for w, rows in _alike(width):
+        packed = _pack(np.where(out[rows], 0, delta[rows]), w).view(np.uint8)
+        payload[at[rows][:, None] + np.arange(32 * w)] = packed
     b, place = np.nonzero(out)
     if len(b):
         first = np.cumsum(exceptions) - exceptions
@@ -126,11 +134,9 @@ class File:
         j = self.n if j is None else j
         a, b = i // BLOCK, -(-j // BLOCK)
         out, at, width = np.zeros((b - a, BLOCK), np.uint32), self.at[a:b], self.width[a:b]
-        for w in np.unique(width).tolist():
-            rows = np.flatnonzero(width == w)
-            if w:
-                raw = self.payload[at[rows][:, None] + np.arange(32 * w)]
-                out[rows] = _unpack(np.ascontiguousarray(raw).view("<u8"), w)
+        for w, rows in _alike(width):
+            raw = self.payload[at[rows][:, None] + np.arange(32 * w)]
+            out[rows] = _unpack(np.ascontiguousarray(raw).view("<u8"), w)
         k = self.exceptions[a:b]
         row = np.repeat(np.arange(b - a), k)
         if len(row):
