@@ -162,8 +162,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns as they were."""
-    rows = measured(docs)
+    """The rows of ``docs`` that are kept, columns as they were.
+
+    Measures are stored beside the rows: a filter over them would be pushed below and compute them once per use.
+    """
+    rows = materialize(measured(docs), "quality")
     refs = references(rows)
     chars, words = distances(refs)
     failed, kept = _verdict("__m", chars, words)
