@@ -14,6 +14,9 @@ alternating star contraction, stored in the shared folder each round.
 Defined results: null and empty texts have the zero fingerprint and link like any other; rows with equal doc_id
 are kept each; a null doc_id takes the component of its fingerprint and is never its name (a component of nulls
 alone has none); an empty table gives no rows; other columns are ignored.
+
+``deduplicate``, the pipeline's stage, has another law: exact Jaccard similarity of five-word shingle sets, by a
+prefix-filter join. It takes the components' contraction from here, but not the fingerprints.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ SEED = 42
 RADIUS = 2
 NODE = 4096
 FANOUT = 8
+#: Near-duplicates of the pipeline: words of a shingle, and least Jaccard similarity as a fraction.
+SHINGLE = 5
+SIMILAR = (4, 5)
 PAIRS_AT_ONCE = 1 << 20
 MASKS = [sum(0xFFFF << (16 * b) for b in (i, j)) for i in range(4) for j in range(i + 1, 4)]
 
@@ -220,11 +226,156 @@ def near_duplicates(docs: DataFrame, k: int = 3, node: int = NODE) -> DataFrame:
     return fps.join(mapping, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, k: int = 3, node: int = NODE) -> DataFrame:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's distinct shingles of ``k`` words as sorted hashes, lower-cased in ASCII; a shorter text is one shingle."""
+    data = vec.LOWER[data]
+    starts, ends, first = vec.words(data, offsets, vec.BLANK_WORDS)
+    h = vec.mix(vec.Hasher(data)(starts, ends))
+    made = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    for j in range(k):
+        made = vec.pair(made, h[j : j + len(made)])
+    out = []
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+        if j - i >= k:
+            out.append(np.unique(made[i : j - k + 1]))
+        elif j > i:
+            whole = np.array([j - i], np.uint64)
+            for x in h[i:j]:
+                whole = vec.pair(whole, np.array([x]))
+            out.append(whole)
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _sets(column, k: int):
+    data, offsets = vec.text_bytes(column)
+    for i, j in vec.chunks(offsets):
+        yield from shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two sorted sets is 0.8 or more."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * shared >= SIMILAR[0] * (len(a) + len(b) - shared)
+
+
+def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sixteenth of the rows, and their ranks by frequency.
+
+    They only order the shingles within a set. Any order finds the same pairs; this one keeps the lists short.
+    """
+
+    def run(iterator):
+        for (text,) in vec.batches(iterator, "text"):
+            for s in _sets(text, k):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
+
+    part = rows.where(F.pmod(F.xxhash64("__row"), F.lit(16)) == 0).select(F.col("text").cast("string").alias("text"))
+    least = max(3, part.count() // 20_000)
+    found = part.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toPandas()
+    s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy()
+    rank = np.empty(len(s), np.int64)
+    rank[np.lexsort((s, n))] = np.arange(len(s))
+    order = np.argsort(s)
+    return s[order], rank[order]
+
+
+def with_prefixes(rows: DataFrame, k: int) -> DataFrame:
+    """__row, doc_id, ``key`` (names the shingle set), ``n`` (its size) and ``prefix``, its rarest shingles.
+
+    A set of n shingles shares at least 0.8 n with a similar one, so both have a shingle in common among the first
+    n - ceil(0.8 n) + 1 in one order for all.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, k))
+
+    def run(iterator):
+        names, ranks = common.value
+        for row, ids, text in vec.batches(iterator, "__row", "doc_id", "text"):
+            keys, sizes, prefixes = [], [], []
+            for s in _sets(text, k):
+                keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
+                sizes.append(len(s))
+                if len(s) and len(names):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    s = s[np.argsort(np.where(names[at] == s, ranks[at], -1), kind="stable")]
+                prefixes.append(s[: len(s) - -(-SIMILAR[0] * len(s) // SIMILAR[1]) + 1].view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([row, ids, pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["__row", "doc_id", "key", "n", "prefix"])
+
+    texts = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "__row long, doc_id long, key long, n long, prefix array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Those pairs of keys (a, b) whose texts' shingle sets are similar."""
+
+    def run(iterator):
+        for a, b, x, y in vec.batches(iterator, "a", "b", "x", "y"):
+            keep = pa.array([similar(s, t) for s, t in zip(_sets(x, k), _sets(y, k))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_sets(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(key, root) of the components of all pairs of shingle sets with Jaccard similarity 0.8 or more.
+
+    Keys that share a prefix shingle are candidates. While groups are large, a round tests one member of a shingle's
+    list against the rest, which joins most of a group; at last all pairs not joined yet are tested.
+    """
+    spark = rows.sparkSession
+    listed = sets.select("key", "n", F.posexplode("prefix").alias("i", "s"))
+    shared = materialize(listed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("s"), "dedup-shared")
+    posts = materialize(listed.join(shared, "s").select("s", "key", "n", "i").distinct(), "dedup-posts")
+    named = sets.join(posts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("__row").alias("__row"))
+    texts = materialize(rows.join(named, "__row").select("key", F.col("text").cast("string").alias("text")), "dedup-texts")
+    roots = spark.createDataFrame([], "key long, root long")
+    edges = None
+    n_posts = posts.count()
+    while True:
+        live = posts.join(roots, "key", "left").select("s", "key", "n", "i", F.coalesce("root", "key").alias("c"))
+        live = materialize(live, "dedup-live")
+        held = live.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+        left = held.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
+        if not left:
+            return roots
+        last = left <= 4 * n_posts
+        if last:
+            x, y = (live.select("s", *[F.col(q).alias(q + z) for q in ("key", "n", "i", "c")]) for z in "xy")
+            # the first shingle in common leaves room for the overlap that 0.8 needs
+            need = F.greatest(F.col("ix") + F.ceil(4 * (F.col("nx") + F.col("ny")) / 9) - F.col("nx"), F.col("iy") + F.ceil(4 * (F.col("nx") + F.col("ny")) / 9) - F.col("ny")) <= 0
+            pairs = x.join(y, "s").where((F.col("keyx") < F.col("keyy")) & (F.col("cx") != F.col("cy")) & need)
+            pairs = pairs.select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
+        else:
+            hubs = live.groupBy("s").agg(F.min("c").alias("h"), F.max("c").alias("hi"), F.min_by("key", "c").alias("a")).where("h != hi")
+            pairs = live.join(hubs, "s").where("c != h").select("a", F.col("key").alias("b")).distinct()
+        new = materialize(verified(pairs, texts, k), "dedup-edges")
+        grown = new.limit(1).count() > 0
+        edges = new if edges is None else edges.union(new)
+        if grown:
+            roots = components(edges).select(F.col("id").alias("key"), "root")
+        if last:
+            return roots
+        if not grown:
+            n_posts = left  # stars join nothing any more: test the rest
+
+
+def deduplicate(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows without a doc_id can't be named, and are kept. Rows that repeat the kept doc_id are kept too.
+    Near-duplicates have shingle sets of ``k`` words with a Jaccard similarity of 0.8 or more; groups are components.
+    Texts without words are one group. Rows have a stored key of their own: of rows with equal doc_id one stays, and
+    a row without a doc_id stays only if no row of its group has one.
     """
-    groups = near_duplicates(docs, k, node)
-    drop = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
+    sets = materialize(with_prefixes(rows, k), "dedup-sets")
+    placed = sets.join(similar_sets(rows, sets, k), "key", "left").select("__row", "doc_id", F.coalesce("root", "key").alias("root"))
+    placed = materialize(placed, "dedup-groups")
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").select("root", F.col("x.__row").alias("__best"))
+    drop = placed.join(best, "root").where("__row != __best").select("__row")
+    return rows.join(drop, "__row", "left_anti").select(*docs.columns)
