@@ -280,46 +280,90 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_cove
     """``docs`` without the contaminated passages, columns as they were.
 
     Hit words, with what stands between them, are cut out of a text; rows whose hits reach ``drop_coverage`` of
-    their words are dropped. ``n_chars`` follows the text, where there is such a column. Rows without hits are
+    their words are dropped. The spans of all blocks are merged first, so blocks don't change the result. ``n_chars`` follows the text, where there is such a column. Rows without hits are
     passed on unchanged.
     """
-    out = docs
-    for automaton in _broadcast(docs.sparkSession, blocks(benchmark, window, block_words)):
-        out = _clean_block(out, automaton, drop_coverage)
+    automata = list(_broadcast(docs.sparkSession, blocks(benchmark, window, block_words)))
+    if len(automata) == 1:
+        return _cut_found(docs, automata[0], drop_coverage)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
+    texts = rows.select("__row", F.col("text").cast("string").alias("text"))
+    parts = [_block_spans(texts, a) for a in automata]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    spans = every.groupBy("__row").agg(F.collect_list("spans").alias("__spans"))
+    return _cut_listed(rows.join(spans, "__row", "left").select(*docs.columns, "__spans"), docs.schema, drop_coverage)
+
+
+def _block_spans(texts: DataFrame, automaton) -> DataFrame:
+    """__row and the spans of one block's hits, for the rows that have any."""
+
+    def run(iterator):
+        for row, text in vec.batches(iterator, "__row", "text"):
+            hits = _hits(text, automaton.value)
+            at = sorted(hits)
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(at, pa.int64())), pa.array([json.dumps(hits[k]) for k in at], pa.string())], ["__row", "spans"])
+
+    return texts.mapInArrow(run, "__row long, spans string")
+
+
+def _hits(column, automaton: Automaton) -> dict[int, list[list[int]]]:
+    """Merged hit spans by the row's place in ``column``."""
+    out = {}
+    data, offsets = vec.text_bytes(column)
+    for i, j in vec.chunks(offsets):
+        _, found, _ = automaton.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        out.update({i + k: merged(runs) for k, (runs, _) in found.items()})
     return out
 
 
-def _clean_block(docs: DataFrame, automaton, drop_coverage: float) -> DataFrame:
+def _cut_found(docs: DataFrame, automaton, drop_coverage: float) -> DataFrame:
     def run(iterator):
         for batch in iterator:
-            at = batch.schema.get_field_index("text")
-            data, offsets = vec.text_bytes(batch.column(at))
-            texts, keep, lengths = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool), {}
-            for i, j in vec.chunks(offsets):
-                own = data[offsets[i] : offsets[j]]
-                counts, found, (starts, ends, first) = automaton.value.scan(own, offsets[i : j + 1] - offsets[i])
-                raw = own.tobytes()
-                for k, (runs, _) in found.items():
-                    runs = merged(runs)
-                    if sum(b - a + 1 for a, b in runs) >= drop_coverage * counts[k]:
-                        keep[i + k] = False
-                        continue
-                    pos, parts = int(offsets[i + k] - offsets[i]), []
-                    for a, b in runs:
-                        parts.append(raw[pos : int(starts[first[k] + a])])
-                        pos = int(ends[first[k] + b])
-                    parts.append(raw[pos : int(offsets[i + k + 1] - offsets[i])])
-                    texts[i + k] = b"".join(parts).decode("utf-8", "replace")
-                    lengths[i + k] = len(texts[i + k])
-            if lengths:
-                field = batch.schema.field(at)
-                batch = batch.set_column(at, field, pa.array(texts, field.type))
-                c = batch.schema.get_field_index("n_chars")
-                if c >= 0:
-                    n = batch.column(c).to_pylist()
-                    for k, v in lengths.items():
-                        n[k] = v
-                    batch = batch.set_column(c, batch.schema.field(c), pa.array(n, batch.schema.field(c).type))
-            yield batch if keep.all() else batch.filter(pa.array(keep))
+            yield _cut_batch(batch, _hits(batch.column(batch.schema.get_field_index("text")), automaton.value), drop_coverage)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_listed(rows: DataFrame, schema, drop_coverage: float) -> DataFrame:
+    """Cut the spans that ``__spans``, the last column, lists by block."""
+
+    def run(iterator):
+        for batch in iterator:
+            listed = batch.column(batch.num_columns - 1).to_pylist()
+            hits = {k: merged([x for y in s for x in json.loads(y)]) for k, s in enumerate(listed) if s}
+            yield _cut_batch(batch.select(range(batch.num_columns - 1)), hits, drop_coverage)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _cut_batch(batch: pa.RecordBatch, hits: dict[int, list[list[int]]], drop_coverage: float) -> pa.RecordBatch:
+    if not hits:
+        return batch
+    at = batch.schema.get_field_index("text")
+    data, offsets = vec.text_bytes(batch.column(at))
+    texts, keep, lengths = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool), {}
+    for k, runs in hits.items():
+        own = data[offsets[k] : offsets[k + 1]]
+        starts, ends, _ = vec.words(vec.LOWER[own], np.array([0, len(own)]), vec.ALNUM_WORDS)
+        if sum(b - a + 1 for a, b in runs) >= drop_coverage * len(starts):
+            keep[k] = False
+            continue
+        raw, pos, parts = own.tobytes(), 0, []
+        for a, b in runs:
+            parts.append(raw[pos : int(starts[a])])
+            pos = int(ends[b])
+        parts.append(raw[pos:])
+        texts[k] = b"".join(parts).decode("utf-8", "replace")
+        lengths[k] = len(texts[k])
+    if lengths:
+        field = batch.schema.field(at)
+        batch = batch.set_column(at, field, pa.array(texts, field.type))
+        c = batch.schema.get_field_index("n_chars")
+        if c >= 0:
+            n = batch.column(c).to_pylist()
+            for k, v in lengths.items():
+                n[k] = v
+            batch = batch.set_column(c, batch.schema.field(c), pa.array(n, batch.schema.field(c).type))
+    return batch if keep.all() else batch.filter(pa.array(keep))

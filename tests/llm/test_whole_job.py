@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from brute import AZ, BLANK_WORD
 
-from tessera.llm import simhash as sim
+from tessera.llm import decontam, simhash as sim
 
 
 def jaccard_kept(rows: list[tuple[int | None, str | None]], k: int = 5) -> list[tuple]:
@@ -55,3 +55,22 @@ def test_deduplicate_large_group_of_unlike_copies(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert kept(sim.deduplicate(df)) == jaccard_kept(rows)
+
+
+@pytest.mark.parametrize("block_words", [1, 14, 40])
+def test_cleaning_does_not_depend_on_blocks(spark, block_words):
+    p, q = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    over = p[20:] + [f"c{i}" for i in range(10)]
+    items = [(1, " ".join(p)), (2, " ".join(q)), (3, " ".join(over))]
+    other = [f"x{i}" for i in range(40)]
+    rows = [
+        (1, " ".join(p + other + q)),  # 60 of 100 words, 30 from each of two items
+        (2, " ".join(other + p + over[10:] + ["end"] + other)),  # items 1 and 3 overlap
+        (3, " ".join(other)),
+        (4, None),
+    ]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontam.clean(df, bench, block_words=block_words).collect()}
+    cut = " ".join(other) + "  end " + " ".join(other)
+    assert got == {2: (cut, len(cut)), 3: (rows[2][1], len(rows[2][1])), 4: (None, 0)}
