@@ -74,3 +74,11 @@ def test_cleaning_does_not_depend_on_blocks(spark, block_words):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontam.clean(df, bench, block_words=block_words).collect()}
     cut = " ".join(other) + "  end " + " ".join(other)
     assert got == {2: (cut, len(cut)), 3: (rows[2][1], len(rows[2][1])), 4: (None, 0)}
+
+
+def test_deduplicate_repeated_and_null_ids(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red blue green white black grey"
+    rows = [(1, a), (2, a), (2, b), (1, a), (None, a), (3, c), (3, c), (None, "only a null id here now"), (None, "only a null id here now"), (4, None), (5, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (2, b), (3, c), (4, None), (None, "only a null id here now")]
+    assert kept(sim.deduplicate(df)) == sorted((i is None, i or 0, t or "") for i, t in want)
