@@ -2,54 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import threading
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.session import ship
 
-_written: list = []
-_root: dict = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (local tests only) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if "tmp" not in _root:
-        _root["tmp"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _root["tmp"]
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit; the folder is the cluster's to clean then
-            pass
-
-
-atexit.register(_sweep)
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path under the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
-    return path
+    return storage.fresh(spark, tag)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files go at the end of an execution whose result is stored; they would stay until the driver's next GC."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is not None:
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -57,8 +41,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = (out, path)
+    return out
+
+
+#: Frames of ``materialize`` by identity, with their paths, until ``discard`` takes them.
+_stored: dict[int, tuple[DataFrame, str]] = {}
+_lock = threading.Lock()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more; other frames are passed over."""
+    for frame in frames:
+        with _lock:
+            _, path = _stored.pop(id(frame), (None, None))
+        if path:
+            files, p = storage.hadoop(frame.sparkSession, path)
+            files.delete(p, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def training_ids(labels: DataFrame, column: str, value: int, bound: int, held: bool = True) -> DataFrame:

@@ -5,8 +5,9 @@ is tracked. Every length of ``window`` or more marks its last ``window`` words a
 where it occurs whole. Only runs of words whose neighbouring pairs occur in some item reach the automaton;
 the rest can't match and is passed over by array operations.
 
-The automaton is broadcast in blocks of at most ``BLOCK_WORDS`` item words. Items are read through a local
-iterator block by block, and the results of blocks are merged per row, so no bound on the items is needed.
+The automaton is broadcast in blocks of at most ``BLOCK_WORDS`` item words, one at a time: items are read through a
+local iterator, what a block finds is stored before the next one is built, and results are merged per row. So neither
+driver nor executors hold more than two blocks, however many items there are; texts are read once per block.
 
 Defined results: null or empty texts have no words and no hits; null item texts are skipped; items of equal id
 count once; repeated rows are kept each; empty tables give empty or clean results; other columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize, ship
+from .common import free_name, materialize, ship
 
 WINDOW = 13
 BLOCK_WORDS = 400_000
@@ -221,8 +223,9 @@ def detect(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    automata = list(_broadcast(spark, blocks(benchmark, window, block_words)))
-    if len(automata) > 1:  # rows need a name of their own to be merged
+    ship(spark)
+    first, others = _one_or_more(blocks(benchmark, window, block_words))
+    if others is not None:  # rows need a name of their own to be merged
         rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
     else:
         rows = rows.withColumn("__row", F.lit(0).cast("long"))
@@ -258,42 +261,51 @@ def detect(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
             if out:
                 yield pa.RecordBatch.from_arrays([ids, n_words, *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    parts = [rows.mapInArrow(per_block(a, k == 0), schema) for k, a in enumerate(automata)]
     out_schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    if len(parts) == 1:
-        listed = parts[0].select("doc_id", "n_words", F.array_compact(F.array("spans")).alias("spans"), F.array_compact(F.array("items")).alias("items"))
+    if others is None:
+        listed = rows.mapInArrow(per_block(spark.sparkContext.broadcast(first), True), schema).select("doc_id", "n_words", F.array_compact(F.array("spans")).alias("spans"), F.array_compact(F.array("items")).alias("items"))
         return listed.mapInArrow(finish, out_schema)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    grouped = every.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    parts = _block_by_block(spark, first, others, lambda a, k: rows.mapInArrow(per_block(a, k == 0), schema))
+    grouped = parts.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
     return grouped.drop("__row").mapInArrow(finish, out_schema)
 
 
-def _broadcast(spark, automata):
-    ship(spark)
-    for a in automata:
-        yield spark.sparkContext.broadcast(a)
+def _one_or_more(automata):
+    """The first automaton, and an iterator over the others, or None if there is but one."""
+    first, second = next(automata), next(automata, None)
+    return first, None if second is None else chain([second], automata)
+
+
+def _block_by_block(spark, first, others, found) -> DataFrame:
+    """What each block finds, stored before the next one is built, so one block is held at a time."""
+    every = None
+    for k, automaton in enumerate(chain([first], others)):
+        shared = spark.sparkContext.broadcast(automaton)
+        part = materialize(found(shared, k), "decontam-block")
+        shared.destroy()
+        every = part if every is None else every.union(part)
+    return every
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the contaminated passages, columns as they were.
 
     Hit words, with what stands between them, are cut out of a text; rows whose hits reach ``drop_coverage`` of
-    their words are dropped. The spans of all blocks are merged first, so blocks don't change the result. ``n_chars`` follows the text, where there is such a column. Rows without hits are
-    passed on unchanged.
+    their words are dropped. The spans of all blocks are merged first, so blocks don't change the result. ``n_chars``
+    follows the text, where there is such a column. Rows without hits, null and empty texts are passed on unchanged;
+    repeated rows are cut each; whole texts are read; columns are passed on whatever their names.
     """
-    automata = list(_broadcast(docs.sparkSession, blocks(benchmark, window, block_words)))
-    if len(automata) == 1:
-        return _cut_found(docs, automata[0], drop_coverage)
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
-    texts = rows.select("__row", F.col("text").cast("string").alias("text"))
-    parts = [_block_spans(texts, a) for a in automata]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    spans = every.groupBy("__row").agg(F.collect_list("spans").alias("__spans"))
-    return _cut_listed(rows.join(spans, "__row", "left").select(*docs.columns, "__spans"), docs.schema, drop_coverage)
+    spark = docs.sparkSession
+    ship(spark)
+    first, others = _one_or_more(blocks(benchmark, window, block_words))
+    if others is None:
+        return _cut_found(docs, spark.sparkContext.broadcast(first), drop_coverage)
+    row, listed = free_name(docs, "row_key"), free_name(docs, "hit_spans")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    texts = rows.select(F.col(row).alias("__row"), F.col("text").cast("string").alias("text"))
+    every = _block_by_block(spark, first, others, lambda a, k: _block_spans(texts, a))
+    spans = every.groupBy(F.col("__row").alias(row)).agg(F.collect_list("spans").alias(listed))
+    return _cut_listed(rows.join(spans, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], listed), docs.schema, drop_coverage)
 
 
 def _block_spans(texts: DataFrame, automaton) -> DataFrame:

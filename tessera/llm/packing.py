@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, vec
-from .common import materialize, partitions_for
+from .common import materialize, partitions_for, ship
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, open boolean, gap long"
@@ -153,6 +153,7 @@ def pack(pieces: DataFrame, size: int = 1024, per: int = 60_000, turns: int = 12
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:
+    ship(docs.sparkSession)
     return pack(materialize(cut(docs, tokenizer, size, end_id), "pieces"), size)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, vec
-from .common import fresh_path, materialize, partitions_for
+from .common import fresh_path, materialize, partitions_for, ship
 
 BLOCK = 256
 #: Blocks that are packed or unpacked at once.
@@ -198,7 +198,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_id
         if docs_:
             yield flush()
 
-    sorted_ = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the text's hash deals null and repeated doc_ids over tasks
+    keys = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    sorted_ = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "text")
     manifest = materialize(sorted_.mapInArrow(run, "part long, seq long, name string, docs long, n_tokens long"), "pfor-files")
     w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.select("name", "docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"))
@@ -223,5 +225,6 @@ def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    ship(docs.sparkSession)
     folder = fresh_path(docs.sparkSession, "pfor")
     return read(docs.sparkSession, folder, write(docs, tokenizer, folder, end_id))

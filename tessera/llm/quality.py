@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 BLANK = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -69,14 +69,15 @@ def _language() -> Column:
 
 
 def measured(docs: DataFrame, name: str = "__m") -> DataFrame:
-    """``docs`` with a struct of measures."""
+    """``docs`` with a struct of measures, ``name``, which no column of theirs may have."""
+    parts = free_name(docs, "text_parts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, BLANK + "+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     chars = F.char_length(text).cast("long")
-    first = docs.withColumn("__t", F.struct(text.alias("text"), words.alias("words"), chars.alias("chars"), count(BLANK).alias("blank"), count(r"[#*$%&|<>]").alias("marks")))
-    t = lambda x: F.col(f"__t.{x}")
+    first = docs.withColumn(parts, F.struct(text.alias("text"), words.alias("words"), chars.alias("chars"), count(BLANK).alias("blank"), count(r"[#*$%&|<>]").alias("marks")))
+    t = lambda x: F.col(f"{parts}.{x}")
     lowered = F.array_remove(F.split(F.lower(text), BLANK + "+"), "")
     common = F.coalesce(*[F.when(_language() == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()])
     hits = let(lowered, lambda w: F.transform(common, lambda c: (F.size(w) - F.size(F.array_remove(w, c))).cast("double")))
@@ -91,7 +92,7 @@ def measured(docs: DataFrame, name: str = "__m") -> DataFrame:
             hits.alias("hits"),
         ),
     )
-    return second.drop("__t")
+    return second.drop(parts)
 
 
 def _classes(m: str) -> Column:
@@ -165,9 +166,12 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, columns as they were.
 
     Measures are stored beside the rows: a filter over them would be pushed below and compute them once per use.
+    Null and empty texts have no words and are rejected, as all of fewer than 20 words are; a null language is judged
+    as one without a word list; repeated rows are each kept or not; whole texts are measured, whatever their length;
+    an empty table stays empty; columns are passed on whatever their names.
     """
-    rows = materialize(measured(docs), "quality")
-    refs = references(rows)
-    chars, words = distances(refs)
-    failed, kept = _verdict("__m", chars, words)
-    return rows.where(kept).select(*docs.columns)
+    name = free_name(docs, "quality_measures")
+    rows = materialize(measured(docs, name), "quality")
+    chars, words = distances(references(rows, name), name)
+    _, kept = _verdict(name, chars, words)
+    return rows.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -96,7 +96,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, target_rows: int = TARGET_ROWS, seed: int = 0) -> DataFrame:
     """doc_id, log_weight, score, gumbel_key and kept for every row; ``keep`` of the rows are kept."""
     ship(docs.sparkSession)
-    wanted = F.broadcast(training_ids(labels, "quality", 1, target_rows, held=False))
+    docs = docs.select("doc_id", "text")
+    wanted = F.broadcast(training_ids(labels, "quality", 1, target_rows))
     target = docs.join(wanted, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
     rows = materialize(weigh(docs, log_ratio(counts(target), counts(docs)), seed), "resample")
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("key_bits"), F.max("key_bits")).first()

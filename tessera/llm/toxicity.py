@@ -3,16 +3,21 @@
 Disguised strings (digits and signs for letters, letters set apart, letters repeated) are rows of a character
 lattice: each place offers the character itself and the letters it may stand for, a repeated run may shrink, a
 separator may vanish. The Viterbi path under a character trigram model, counted over all documents, restores
-them; a string that can't be disguised has one path only and is passed over by array operations. Words and word
-beginnings of the restored text are then looked up among those that labelled toxic texts use far more often than
-labelled clean ones, and a logistic model of a text's evidence gives the score.
+them. Words and word beginnings of the restored text are then looked up among those that labelled toxic texts use far
+more often than labelled clean ones, and a logistic model of a text's evidence gives the score.
+
+Which strings are decoded: while words are learned, those with plain signs of disguise. In scoring, every string whose
+lattice has more than one path (a doubled letter, a sign for a letter anywhere, an inner separator) and every run of
+three or more single characters, however far apart, if some path may spell a learned word: all paths of a string have
+one skeleton (letters and their signs as classes, repeats as one, separators dropped), so a string whose skeletons
+begin no learned word's is passed over by array operations without a change of the score.
 
 Labels are read only where crc32(doc_id as text) mod 3 is not 1, at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of them;
 labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts are scored like any text without evidence; null doc_ids are scored and not
 held out; repeated rows are kept each; without labels every score is 0; an empty table gives no rows; other
-columns are ignored.
+columns are ignored. Texts and strings of any length are read whole; strings beyond ``REMEMBERED`` characters aren't cached.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7":
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WHOLE = np.uint64(0xA5A5A5A5A5A5A5A5)
 LEAST_WEIGHT = 2.5
+#: Classes of a skeleton that are compared, and characters of a string whose decoding is remembered.
+SKELETON, REMEMBERED = 8, 64
 SUBSTITUTE, SHRINK, DROP = -1.0, -0.3, -0.2
 
 _CODES = np.zeros(0x200, np.int64)
@@ -47,6 +54,53 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+# letters and the signs that stand for them, as one class each
+_CLASS = np.arange(256, dtype=np.uint8)
+for _kin in ("il1!|", "bg869", "o0", "e3", "a4@", "s5$", "t7+"):
+    for _c in _kin:
+        _CLASS[ord(_c)] = ord(_kin[0])
+_KEPT = _LETTER | _LEET | (np.arange(256) >= 0x30) & (np.arange(256) < 0x3A)
+_EURO = (0xE2, 0x82, 0xAC)
+_INNER = np.zeros(256, bool)
+_INNER[[ord(c) for c in "._-*"]] = True
+
+
+def skeletons(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the first 1 to ``SKELETON`` classes from every place where a word may begin.
+
+    Places, their strings (by the ranges given) and a row of hashes each; 0 where a string has no more classes.
+    """
+    n = len(data)
+    kept = _KEPT[data].copy()
+    classes = _CLASS[data]
+    euro = np.flatnonzero((data[:-2] == _EURO[0]) & (data[1:-1] == _EURO[1]) & (data[2:] == _EURO[2])) if n > 2 else np.zeros(0, np.int64)
+    classes[euro] = ord("e")
+    kept[euro + 1] = kept[euro + 2] = False
+    string = np.full(n + 1, -1, np.int64)
+    string[starts] = np.arange(len(starts))
+    string = np.maximum.accumulate(string)[:n]
+    inside = np.zeros(n + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    at = np.flatnonzero(kept & (np.cumsum(inside)[:n] > 0))
+    if not len(at):
+        return at, at, np.zeros((0, SKELETON), np.uint64)
+    own, cls = string[at], classes[at]
+    begins = np.ones(len(at), bool)  # no letter stands right before, in the same string
+    begins[1:] = (at[1:] - at[:-1] != 1) | (own[1:] != own[:-1])
+    fresh = begins.copy()
+    fresh[1:] |= cls[1:] != cls[:-1]
+    at, own, cls, begins = at[fresh], own[fresh], cls[fresh], begins[fresh]
+    first = np.flatnonzero(begins)
+    h = vec.Hasher(cls)
+    out = np.zeros((len(first), SKELETON), np.uint64)
+    last = np.searchsorted(own, own[first], "right")
+    for k in range(1, SKELETON + 1):
+        fits = first + k <= last
+        out[fits, k - 1] = h(first[fits], first[fits] + k)
+    return at[first], own[first], out
+
+
 def _code(c: str) -> int:
     return int(_CODES[ord(c)]) if ord(c) < 0x200 else int(c.isalpha())
 
@@ -111,15 +165,18 @@ class Channel:
             best = best[0]
         return "".join(reversed(out))
 
-    def restored(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower-cased texts with disguised strings decoded."""
+    def restored(self, data: np.ndarray, offsets: np.ndarray, learned: vec.Table | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased texts with disguised strings decoded; ``learned`` holds the skeletons of learned words."""
         data = vec.LOWER[data]
         spans = disguised(data, offsets)
+        if learned is not None:
+            spans = _apart(spans + ambiguous(data, offsets, learned))
         if not spans:
             return data, offsets
         raw, parts, pos, ends, grown = data.tobytes(), [], 0, [], []
         for a, b in spans:
-            new = self.restore(raw[a:b].decode("utf-8", "replace")).encode()
+            string = raw[a:b].decode("utf-8", "replace")
+            new = (self.restore if len(string) <= REMEMBERED else self._restore)(string).encode()
             parts += [raw[pos:a], new]
             ends.append(b)
             grown.append(len(new) - (b - a))
@@ -174,9 +231,59 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         keep = b - a >= 3
         spans += list(zip(ws[a[keep]].tolist(), we[b[keep]].tolist()))
-        spans.sort()
+    return _apart(spans)
+
+
+def ambiguous(data: np.ndarray, offsets: np.ndarray, learned: vec.Table) -> list[tuple[int, int]]:
+    """Byte ranges of strings with more than one path of which one may spell a learned word, and of spaced letters."""
+    n = len(data)
+    if n < 2 or not learned.size:
+        return []
+    s, e, _ = vec.words(data, offsets, vec.BLANK_WORDS)
+    if not len(s):
+        return []
+    letter = _LETTER[data]
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    signs = np.concatenate([[0], np.cumsum(_LEET[data] | (data == _EURO[0]))])
+    twice = np.zeros(n, bool)
+    twice[1:] = (data[1:] == data[:-1]) & letter[1:]
+    inner = _INNER[data].copy()
+    inner[s] = False
+    inner[e - 1] = False
+    twice[s] = False
+    other = np.concatenate([[0], np.cumsum(twice | inner)])
+    many = (letters[e] > letters[s]) & (signs[e] > signs[s]) | (other[e] > other[s])
+    spans = _spelling(data, s[many], e[many], learned)
+    # runs of single characters, whatever stands between them
+    ws, we, first = vec.words(data, offsets, vec.ALNUM_WORDS | _LEET)
+    if len(ws) > 2:
+        single = (we - ws == 1) | ((we - ws == 2) & (data[ws] >= 0xC0)) | ((we - ws == 3) & (data[ws] >= 0xE0))
+        near = np.zeros(len(ws), bool)
+        near[:-1] = single[:-1] & single[1:]
+        near[first[1:-1][first[1:-1] > 0] - 1] = False  # the next word is another text's
+        edge = np.diff(np.concatenate([[0], near.astype(np.int8), [0]]))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        keep = b - a >= 2
+        spans += _spelling(data, ws[a[keep]], we[b[keep]], learned)
+    return spans
+
+
+def _spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, learned: vec.Table) -> list[tuple[int, int]]:
+    """The ranges in which a learned word's skeleton begins."""
+    if not len(starts):
+        return []
+    _, own, hashes = skeletons(data, starts, ends)
+    hit = np.zeros(len(own), bool)
+    for k in range(SKELETON):
+        hit |= (hashes[:, k] != 0) & (learned.get(hashes[:, k]) >= 0)
+    t = np.unique(own[hit])
+    return list(zip(starts[t].tolist(), ends[t].tolist()))
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those that overlap as one."""
     out: list[tuple[int, int]] = []
-    for a, b in spans:
+    for a, b in sorted(spans):
         if out and a < out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -248,7 +355,36 @@ def _document_counts(docs: DataFrame, channel, known=None) -> DataFrame:
     return docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
-def _evidence(docs: DataFrame, channel, table, weights, more: str = "") -> DataFrame:
+def _learned_skeletons(docs: DataFrame, channel, table) -> vec.Table:
+    """The skeletons of the words and word beginnings in ``table``: one each, so no more than the table has."""
+
+    def run(iterator):
+        for (column,) in vec.batches(iterator, "text"):
+            raw, offsets = vec.text_bytes(column)
+            for i, j in vec.chunks(offsets, 1 << 21):
+                data, off = channel.value.restored(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                s, e, _ = vec.words(data, off, vec.ALNUM_WORDS)
+                kinds, _ = features(data, off)
+                for size, (at, h) in zip((*PREFIXES, None), kinds):
+                    at = at[table.value.get(h) >= 0]
+                    _, one = np.unique(h[table.value.get(h) >= 0], return_index=True)
+                    at = at[one]
+                    parts = [data[s[x] : e[x] if size is None else s[x] + size] for x in at.tolist()]
+                    ends = np.cumsum([len(x) for x in parts]).astype(np.int64)
+                    if len(parts):
+                        joined = np.concatenate(parts)
+                        place, own, hashes = skeletons(joined, np.concatenate([[0], ends[:-1]]), ends)
+                        lead = np.unique(own, return_index=True)[1]
+                        whole = [int(row[row != 0][-1]) for row in hashes[lead]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.array(whole, np.uint64).view(np.int64))], ["h"])
+
+    out = vec.Table()
+    found = docs.select("text").mapInArrow(run, "h long").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    out.put(found, np.zeros(len(found), np.int32))
+    return out
+
+
+def _evidence(docs: DataFrame, channel, table, weights, learned, more: str = "") -> DataFrame:
     """Per row the largest weight of a word, how many words have one, and their share."""
     names = ["doc_id", "y"] if more else ["doc_id"]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -258,7 +394,7 @@ def _evidence(docs: DataFrame, channel, table, weights, more: str = "") -> DataF
             raw, offsets = vec.text_bytes(columns[-1])
             top, hits, share = (np.zeros(len(offsets) - 1) for _ in range(3))
             for i, j in vec.chunks(offsets):
-                data, off = channel.value.restored(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                data, off = channel.value.restored(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], learned.value)
                 kinds, text = features(data, off)
                 best = np.zeros(len(text))
                 for at, h in kinds:
@@ -319,8 +455,9 @@ def score(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         weights = w[keep]
         table.put(f[keep], np.arange(keep.sum(), dtype=np.int32))
     table, weights = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(weights)
+    learned = spark.sparkContext.broadcast(_learned_skeletons(toxic, channel, table))
     labelled = toxic.withColumn("y", F.lit(1)).union(of[0].withColumn("y", F.lit(0)))
-    seen = _evidence(labelled, channel, table, weights, "y int, ").drop("doc_id").toPandas()  # bounded by the two limits
+    seen = _evidence(labelled, channel, table, weights, learned, "y int, ").drop("doc_id").toPandas()  # bounded by the two limits
     model = _fit(_inputs(seen["top"].to_numpy(), seen["hits"].to_numpy(), seen["share"].to_numpy()), seen["y"].to_numpy())
 
     def run(iterator):
@@ -328,6 +465,6 @@ def score(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
             z = _inputs(top.to_numpy(), hits.to_numpy(), share.to_numpy()) @ model
             yield pa.RecordBatch.from_arrays([ids, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], ["doc_id", "score"])
 
-    scored = _evidence(rows, channel, table, weights).mapInArrow(run, "doc_id long, score double")
+    scored = _evidence(rows, channel, table, weights, learned).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
