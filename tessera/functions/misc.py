@@ -62,19 +62,34 @@ def _ESCAPE(s: pd.Series) -> pd.Series:
 
 
 def hash_split(key, seed: int = 42) -> Column:
-    """A uniform number in [0, 1) of a key's text; null for a null key. Seed 42 stays inside the JVM."""
+    """A uniform number in [0, 1) of a key's bytes; null for a null key.
+
+    Texts count as UTF-8, numbers as the little-endian bytes of their type. Seed 42 stays inside the JVM, where
+    numbers of one or two bytes are hashed as four.
+    """
     k = _c(key)
     if seed == 42:
         return F.when(k.isNotNull(), (F.shiftrightunsigned(F.xxhash64(k), 41) / F.lit(float(1 << 23))).cast("float"))
-    return _split(seed)(k.cast("string"))
+    return _split(seed)(k.cast("string"), F.typeof(k))
+
+
+#: Formats of the bytes of numbers by type.
+_BYTES = {"tinyint": "<b", "smallint": "<h", "int": "<i", "bigint": "<q", "float": "<f", "double": "<d"}
 
 
 def _split(seed: int):
+    formats = _BYTES
+
     @F.pandas_udf("float")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s: pd.Series, kind: pd.Series) -> pd.Series:
+        import struct
+
         import xxhash
 
-        return s.map(lambda v: None if v is None else (xxhash.xxh64_intdigest(v.encode(), seed) >> 41) / (1 << 23))
+        def raw(v: str, t: str) -> bytes:
+            return struct.pack(formats[t], (int if formats[t][1] in "bhiq" else float)(v)) if t in formats else v.encode()
+
+        return pd.Series([None if v is None else (xxhash.xxh64_intdigest(raw(v, t), seed) >> 41) / (1 << 23) for v, t in zip(s, kind)], dtype="float32")
 
     return run
 
@@ -299,7 +314,7 @@ assert_non_negative = _assertion(lambda c: c >= 0)
 assert_positive = _assertion(lambda c: c > 0)
 
 
-# Easing and geometry of points; poses are seven numbers (x, y, z, then a unit quaternion x, y, z, w).
+# Easing, colours and geometry of points; poses are matrices of 4 by 4, row by row, that map to the world.
 
 
 def lerp(t, low: float, high: float) -> Column:
@@ -307,19 +322,73 @@ def lerp(t, low: float, high: float) -> Column:
 
 
 def oscillate(t, low: float, high: float, frequency: float = 1.0) -> Column:
-    return low + (high - low) * (0.5 - 0.5 * F.cos(2 * F.pi() * frequency * _c(t)))
+    """A sine about the middle of the range, from the middle upwards."""
+    return low + (high - low) * (0.5 + 0.5 * F.sin(2 * F.pi() * frequency * _c(t)))
+
+
+def _unit(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+
+
+def fade_in(t, duration: float = 0.25) -> Column:
+    """From 0 to 1 in the first ``duration``."""
+    return _unit(_c(t) / duration)
+
+
+def fade_out(t, duration: float = 0.25) -> Column:
+    """From 1 to 0 in the last ``duration``."""
+    return _unit((1 - _c(t)) / duration)
+
+
+# The arcs of the usual ease-out bounce, as (end, centre, floor), over a width of 2.75.
+BOUNCE = ((1.0, 0.0, 0.0), (2.0, 1.5, 0.75), (2.5, 2.25, 0.9375), (None, 2.625, 0.984375))
+
 
+def bounce(t, low: float, high: float, bounces: int = 3) -> Column:
+    """Three bounces are the usual ease-out curve; another number is a cosine that dies down."""
+    x = _unit(_c(t))
+    if bounces == 3:
+        at = F.coalesce(*[(F.when(x * 2.75 < end, F.lit(1.0)) if end else F.lit(1.0)) * (7.5625 * F.pow(x - mid / 2.75, F.lit(2.0)) + base) for end, mid, base in BOUNCE])
+    else:
+        at = 1 - F.abs(F.cos(F.pi() * bounces * x)) * (1 - x)
+    return low + (high - low) * at
 
-def fade_in(t, duration: float = 1.0) -> Column:
-    return F.least(F.greatest(_c(t) / duration, F.lit(0.0)), F.lit(1.0))
 
+def wobble(t, low: float, high: float, seed: int = 0) -> Column:
+    """Three sines of one, two and four turns whose phases the seed sets."""
+    phase = np.random.default_rng(seed).random(3) * 2 * np.pi
+    wave = sum((F.sin(2 * F.pi() * k * _c(t) + float(p)) / k for k, p in zip((1, 2, 4), phase)), F.lit(0.0)) / 1.75
+    return low + (high - low) * (0.5 + 0.5 * wave)
 
-def fade_out(t, duration: float = 1.0) -> Column:
-    return 1 - fade_in(t, duration)
 
+def random_walk(t, low: float, high: float, steps: int = 10, seed: int = 0) -> Column:
+    """A walk between the bounds that the seed fixes, with straight lines between its steps."""
+    walk = np.cumsum(np.random.default_rng(seed).choice([-1.0, 1.0], steps))
+    walk = np.concatenate([[0.0], walk])
+    walk = (walk - walk.min()) / max(walk.max() - walk.min(), 1.0)
+    known, x = F.array(*map(F.lit, walk.tolist())), _unit(_c(t)) * steps
+    i = F.least(F.floor(x).cast("int"), F.lit(steps - 1))
+    return low + (high - low) * (F.get(known, i) + (F.get(known, i + 1) - F.get(known, i)) * (x - i))
 
-def bounce(t, low: float, high: float, bounces: int = 1) -> Column:
-    return low + (high - low) * F.abs(F.sin(F.pi() * bounces * _c(t)))
+
+# Colours are structs of four bytes.
+
+
+def color(r, g, b, a=255) -> Column:
+    return F.struct(*[F.round(F.least(F.greatest(_c(v), F.lit(0)), F.lit(255))).cast("int").alias(k) for k, v in zip("rgba", (r, g, b, a))])
+
+
+def color_hex(x) -> Column:
+    """#rgb, #rgba, #rrggbb or #rrggbbaa, the sign left out at will; null for anything else."""
+    h = F.lower(F.regexp_replace(_c(x), "^#", ""))
+    wide = F.when(F.length(h) <= 4, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
+    full = F.when(F.length(wide) == 6, F.concat(wide, F.lit("ff"))).otherwise(wide)
+    parts = [F.conv(F.substring(full, 2 * i + 1, 2), 16, 10).cast("int").alias(k) for i, k in enumerate("rgba")]
+    return F.when(h.rlike("^([0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})$"), F.struct(*parts))
+
+
+def color_interpolate(a: Column, b: Column, t) -> Column:
+    return F.struct(*[F.round(a[k] + (b[k] - a[k]) * _unit(_c(t))).cast("int").alias(k) for k in "rgba"])
 
 
 def haversine(lat1, lon1, lat2, lon2) -> Column:
@@ -360,69 +429,73 @@ def point_z(p: Column) -> Column:
     return p["z"]
 
 
-def pose_identity() -> Column:
-    return F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)])
+def _matrix(values) -> Column:
+    return F.array(*[v if isinstance(v, Column) else F.lit(float(v)) for v in values])
 
 
-def pose_translate(dx, dy, dz) -> Column:
-    return F.array(*[_c(x).cast("double") for x in (dx, dy, dz)], *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+def pose_identity() -> Column:
+    return _matrix([1.0 if i % 5 == 0 else 0.0 for i in range(16)])
 
 
-def _turn(q, v):
-    """A vector turned by a quaternion."""
-    x, y, z, w = q
-    a, b, c = v
-    tx, ty, tz = 2 * (y * c - z * b), 2 * (z * a - x * c), 2 * (x * b - y * a)
-    return a + w * tx + y * tz - z * ty, b + w * ty + z * tx - x * tz, c + w * tz + x * ty - y * tx
+def pose_translate(dx, dy, dz) -> Column:
+    moved = {3: dx, 7: dy, 11: dz}
+    return _matrix([_c(moved[i]).cast("double") if i in moved else 1.0 if i % 5 == 0 else 0.0 for i in range(16)])
 
 
-def _parts(p: Column):
-    at = [F.get(p, F.lit(i)) for i in range(7)]
-    return at[:3], at[3:]
+def _cell(m: Column, row: int, column: int) -> Column:
+    return F.get(m, F.lit(4 * row + column)).cast("double")
 
 
 def pose_compose(a: Column, b: Column) -> Column:
-    """The pose that applies b, then a."""
-    (t1, q1), (t2, q2) = _parts(a), _parts(b)
-    moved = _turn(q1, t2)
-    x1, y1, z1, w1 = q1
-    x2, y2, z2, w2 = q2
-    q = (w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2, w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2, w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2, w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2)
-    return F.array(*[m + t for m, t in zip(moved, t1)], *q)
+    """The matrix product: b is applied first."""
+    return _matrix([sum((_cell(a, i, k) * _cell(b, k, j) for k in range(4)), F.lit(0.0)) for i in range(4) for j in range(4)])
 
 
 def pose_inverse(p: Column) -> Column:
-    t, (x, y, z, w) = _parts(p)
-    q = (-x, -y, -z, w)
-    return F.array(*[-v for v in _turn(q, t)], *q)
+    """Of a rotation and a translation."""
+    rows = []
+    for i in range(3):
+        turned = [_cell(p, k, i) for k in range(3)]
+        rows += [*turned, -(turned[0] * _cell(p, 0, 3) + turned[1] * _cell(p, 1, 3) + turned[2] * _cell(p, 2, 3))]
+    return _matrix([*rows, 0.0, 0.0, 0.0, 1.0])
 
 
 def pose_to_world_position(p: Column) -> Column:
-    t, _ = _parts(p)
-    return point3d(*t)
+    return point3d(*[_cell(p, i, 3) for i in range(3)])
+
+
+def pose_to_euler_degrees(p: Column) -> Column:
+    """Yaw, pitch and roll about y, x and z, turned in that order; straight up or down there is no roll."""
+    sine = F.least(F.greatest(-_cell(p, 1, 2), F.lit(-1.0)), F.lit(1.0))
+    steep = F.abs(sine) > 0.99999
+    yaw = F.when(steep, F.atan2(-_cell(p, 2, 0), _cell(p, 0, 0))).otherwise(F.atan2(_cell(p, 0, 2), _cell(p, 2, 2)))
+    roll = F.when(steep, F.lit(0.0)).otherwise(F.atan2(_cell(p, 1, 0), _cell(p, 1, 1)))
+    return F.array(F.degrees(yaw), F.degrees(F.asin(sine)), F.degrees(roll))
 
 
 def pc_transform(cloud: Column, pose: Column) -> Column:
     """An array of points moved by a pose."""
-    t, q = _parts(pose)
 
     def move(p):
-        a, b, c = _turn(q, (p["x"], p["y"], p["z"]))
-        return point3d(a + t[0], b + t[1], c + t[2])
+        return point3d(*[_cell(pose, i, 0) * p["x"] + _cell(pose, i, 1) * p["y"] + _cell(pose, i, 2) * p["z"] + _cell(pose, i, 3) for i in range(3)])
 
     return F.transform(cloud, move)
 
 
+def _coordinate(name: str):
+    return lambda p: p[name]
+
+
 def point_cloud_count(cloud: Column) -> Column:
     return F.size(cloud)
 
 
 def point_cloud_bbox_min(cloud: Column) -> Column:
-    return point3d(*[F.array_min(F.transform(cloud, lambda p, d=d: p[d])) for d in "xyz"])
+    return point3d(*[F.array_min(F.transform(cloud, _coordinate(d))) for d in "xyz"])
 
 
 def point_cloud_bbox_max(cloud: Column) -> Column:
-    return point3d(*[F.array_max(F.transform(cloud, lambda p, d=d: p[d])) for d in "xyz"])
+    return point3d(*[F.array_max(F.transform(cloud, _coordinate(d))) for d in "xyz"])
 
 
 def pc_filter_depth(cloud: Column, low: float, high: float) -> Column:

@@ -26,7 +26,7 @@ def interval(months=0, days=0, micros_=0) -> Column:
 
 
 def make_interval(years=0, months=0, weeks=0, days=0, hours=0, mins=0, secs=0.0) -> Column:
-    return interval(_c(years) * 12 + _c(months), _c(weeks) * 7 + _c(days), (_c(hours) * 3600 + _c(mins) * 60 + _c(secs)) * 1_000_000)
+    return interval(_c(years) * 12 + _c(months), _c(weeks) * 7 + _c(days), (_c(hours).cast("long") * 3600 + _c(mins).cast("long") * 60 + _c(secs).cast("double")) * 1_000_000)
 
 
 def interval_qualified(literal: str, qualifier: str) -> Column:
@@ -41,7 +41,7 @@ def interval_qualified(literal: str, qualifier: str) -> Column:
 
 def make_duration(days, hours, minutes, seconds) -> Column:
     """Microseconds."""
-    return (_c(days) * DAY + _c(hours) * HOUR + _c(minutes) * 60_000_000 + _c(seconds) * 1_000_000).cast("long")
+    return (_c(days).cast("long") * DAY + _c(hours).cast("long") * HOUR + _c(minutes).cast("long") * 60_000_000 + _c(seconds).cast("double") * 1_000_000).cast("long")
 
 
 def justify_hours(i: Column) -> Column:
@@ -133,7 +133,7 @@ duration_seconds, duration_minutes, duration_hours, duration_days = map(_duratio
 
 def make_time(hour, minute, second) -> Column:
     """Microseconds of the day."""
-    return (_c(hour) * HOUR + _c(minute) * 60_000_000 + _c(second) * 1_000_000).cast("long")
+    return (_c(hour).cast("long") * HOUR + _c(minute).cast("long") * 60_000_000 + _c(second).cast("double") * 1_000_000).cast("long")
 
 
 def time_diff(start, end) -> Column:

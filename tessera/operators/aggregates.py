@@ -19,12 +19,13 @@ def array_agg(x, order=None) -> Column:
 
 
 def arg_max(v, k, row) -> Column:
-    """The value at the largest key; of equals the first row."""
-    return F.max_by(F.col(v), F.struct(F.col(k), -F.col(row)))
+    """The value at the largest key; of equals the first row. Null keys are skipped."""
+    return F.max_by(F.col(v), F.when(F.col(k).isNotNull(), F.struct(F.col(k), -F.col(row))))
 
 
 def arg_min(v, k, row) -> Column:
-    return F.min_by(F.col(v), F.struct(F.col(k), F.col(row)))
+    """The value at the smallest key; of equals the first row. Null keys are skipped."""
+    return F.min_by(F.col(v), F.when(F.col(k).isNotNull(), F.struct(F.col(k), F.col(row))))
 
 
 def approx_percentile(x, fraction: float, accuracy: int = 1_000_000) -> Column:

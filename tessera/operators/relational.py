@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera import storage
+
 
 def order(df: DataFrame, *keys: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Keys as ``name`` or ``-name``: nulls come last ascending and first descending."""
@@ -36,13 +38,18 @@ def range_join(points: DataFrame, at: str, spans: DataFrame, low: str, high: str
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str]) -> DataFrame:
-    """For each left row the last right row of its key at or before it, by one union and window."""
-    a = left.withColumns({f"__{v}": F.lit(None).cast(right.schema[v].dataType) for v in values} | {"__left": F.lit(1)})
-    b = right.select(*by, on, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in [*by, on]], *[F.col(v).alias(f"__{v}") for v in values], F.lit(0).alias("__left"))
+    """For each left row the last right row of its key at or before it, by one union and window.
+
+    A right row is taken whole, with the nulls it has. Null keys and null times match nothing.
+    """
+    kept = right.dropna("any", subset=[*by, on])
+    row = F.struct(*values)
+    a = left.withColumns({"__row": F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType), "__left": F.lit(1)})
+    b = kept.select(*by, on, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in [*by, on]], row.alias("__row"), F.lit(0).alias("__left"))
     both = a.unionByName(b.select(*a.columns))
     w = Window.partitionBy(*by).orderBy(on, "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = both.withColumns({f"asof_{v}": F.last(f"__{v}", ignorenulls=True).over(w) for v in values})
-    return filled.where("__left = 1").select(*left.columns, *[f"asof_{v}" for v in values])
+    filled = both.withColumn("__row", F.last("__row", ignorenulls=True).over(w))
+    return filled.where("__left = 1").select(*left.columns, *[F.col("__row")[v].alias(f"asof_{v}") for v in values])
 
 
 def pivot(df: DataFrame, on: str, aggregates: list[tuple[str, str]], values: list | None = None) -> DataFrame:
@@ -80,13 +87,20 @@ def balanced(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
 
 
 def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int = 1000) -> DataFrame:
-    """UNION ALL of an anchor and the steps from it until one is empty; deeper than ``depth`` is an error."""
-    out, last = anchor, anchor
+    """UNION ALL of an anchor and the steps from it until one is empty; deeper than ``depth`` is an error.
+
+    Every level is stored, so that a step computes from the level before it and not from the anchor again.
+    """
+    last = storage.stored(anchor, "recursive")
+    levels = [last]
     for _ in range(depth):
-        last = step(last)
+        last = storage.stored(step(last), "recursive")
         if not last.take(1):
+            out = levels[0]
+            for level in levels[1:]:
+                out = out.union(level)
             return out
-        out = out.union(last)
+        levels.append(last)
     raise RecursionError(f"more than {depth} steps")
 
 

@@ -58,9 +58,9 @@ def series(t):
     return readers.generate_series(t.spark, 1, 20, 3).union(readers.range_(t.spark, 5, 9))
 
 
-@query("SELECT vec_id, unnest(embedding[1:2])::DOUBLE > 0 AS positive FROM embeddings")
+@query("SELECT vec_id, unnest(embedding)::DOUBLE > 0 AS positive FROM embeddings")
 def unnest_array(t):
-    return t.embeddings.select("vec_id", F.explode(F.slice("embedding", 1, 2)).alias("x")).select("vec_id", (F.col("x") > 0).alias("positive"))
+    return t.embeddings.select("vec_id", F.explode("embedding").alias("x")).select("vec_id", (F.col("x") > 0).alias("positive"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END::DOUBLE AS o_totalprice FROM orders

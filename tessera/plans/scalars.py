@@ -54,10 +54,9 @@ def string_quotes(t):
     return t.nation.select("n_nationkey", S.quote_literal("n_name").alias("lit"), S.format("n=%s k=%s", "n_name", "n_nationkey").alias("f"), S.string_to_array("n_name", "A").alias("parts"), S.initcap(F.regexp_replace("n_name", " ", "")).alias("cap"))
 
 
-@query("""SELECT doc_id, strip_accents(left(text, 200)) AS plain FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7FäöüßÄÖÜéèêàâçñáíóúÉ¿¡ïîôûùœ]*') AND NOT contains(text, 'ß') AND NOT contains(text, 'œ') AND NOT contains(text, '¿') AND NOT contains(text, '¡'))""")
+@query("""SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS plain FROM documents""")
 def string_to_ascii(t):
-    d = t.documents.where("text IS NOT NULL").where(F.col("text").rlike(r"^[\x00-\x7FäöüßÄÖÜéèêàâçñáíóúÉ¿¡ïîôûùœ]*\z") & ~F.col("text").rlike("[ßœ¿¡]"))
-    return d.select("doc_id", S.to_ascii(F.left("text", F.lit(200))).alias("plain"))
+    return t.documents.select("doc_id", S.to_ascii("text").alias("plain"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(abs(l_discount - l_tax), 6) AS a, ceil(l_quantity / 7)::BIGINT AS c, floor(l_quantity / 7)::BIGINT AS f, round(sqrt(l_quantity), 6) AS s, round(cbrt(l_quantity), 6) AS cb, round(ln(l_quantity), 6) AS ln, round(log2(l_quantity), 6) AS l2, round(log10(l_quantity), 6) AS l10,

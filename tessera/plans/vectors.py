@@ -41,9 +41,9 @@ def vector_statistics(t):
 
 
 @query("""SELECT vec_id, list_transform(e, lambda x: round(1 / (1 + exp(-x)), 5)) AS sg, list_transform(e, lambda x: round(greatest(x, 0.0), 5)) AS re, list_transform(e, lambda x: round(exp(x) / list_sum(list_transform(e, lambda y: exp(y))), 6)) AS sm
-    FROM (SELECT vec_id, embedding[1:6]::DOUBLE[] AS e FROM embeddings)""")
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
 def activations(t):
-    e = F.slice("embedding", 1, 6)
+    e = F.col("embedding").cast("array<double>")
     short = lambda a, d=5: F.transform(a, lambda x: F.round(x, d))
     return t.embeddings.select("vec_id", short(V.sigmoid(e, array=True)).alias("sg"), short(V.relu(e, array=True)).alias("re"), short(V.softmax(e), 6).alias("sm"))
 
