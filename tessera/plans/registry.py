@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import aggregation, analysis, files, library, relational, scalars, vectors, windowing  # noqa: F401  they register their queries
+from . import aggregation, analysis, files, library, media, relational, scalars, vectors, windowing  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 
