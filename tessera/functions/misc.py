@@ -70,28 +70,24 @@ def hash_split(key, seed: int = 42) -> Column:
     k = _c(key)
     if seed == 42:
         return F.when(k.isNotNull(), (F.shiftrightunsigned(F.xxhash64(k), 41) / F.lit(float(1 << 23))).cast("float"))
-    return _split(seed)(k.cast("string"), F.typeof(k))
+    return seeded_split(k.cast("string"), F.typeof(k), F.lit(seed))
 
 
 #: Formats of the bytes of numbers by type.
 _BYTES = {"tinyint": "<b", "smallint": "<h", "int": "<i", "bigint": "<q", "float": "<f", "double": "<d"}
 
 
-def _split(seed: int):
-    formats = _BYTES
+@F.pandas_udf(T.FloatType())
+def seeded_split(s: pd.Series, kind: pd.Series, seed: pd.Series) -> pd.Series:
+    """Fractions of values given as texts with the names of their types."""
+    import struct
 
-    @F.pandas_udf("float")
-    def run(s: pd.Series, kind: pd.Series) -> pd.Series:
-        import struct
+    import xxhash
 
-        import xxhash
+    def raw(v: str, t: str) -> bytes:
+        return struct.pack(_BYTES[t], (int if _BYTES[t][1] in "bhiq" else float)(v)) if t in _BYTES else v.encode()
 
-        def raw(v: str, t: str) -> bytes:
-            return struct.pack(formats[t], (int if formats[t][1] in "bhiq" else float)(v)) if t in formats else v.encode()
-
-        return pd.Series([None if v is None else (xxhash.xxh64_intdigest(raw(v, t), seed) >> 41) / (1 << 23) for v, t in zip(s, kind)], dtype="float32")
-
-    return run
+    return pd.Series([None if v is None else (xxhash.xxh64_intdigest(raw(v, t), n) >> 41) / (1 << 23) for v, t, n in zip(s, kind, seed)], dtype="float32")
 
 
 def cross_validate_fold(k: int, *keys, seed: int = 0) -> Column:

@@ -234,9 +234,20 @@ def search_terms(x) -> Column:
 
 
 def tsquery_match(text, query: str | Column) -> Column:
-    """Every term of the query occurs in the text; a query without terms matches all."""
-    terms = search_terms(F.lit(query) if isinstance(query, str) else query)
-    return F.size(F.array_except(terms, search_terms(text))) == 0
+    """Every term of the query occurs in the text; a query without terms matches all.
+
+    A text without the term's letters needs no splitting, which is what most texts are; the rest is compared by terms.
+    """
+    asked = F.lit(query) if isinstance(query, str) else query
+    terms = search_terms(asked)
+    low = F.lower(_c(text))
+    may = F.forall(terms, lambda t: F.contains(low, t))
+    if isinstance(query, str):
+        known = [t for t in re.findall(r"[^\W_]+", query.lower()) if len(t) >= 2 and t not in STOP_WORDS and all(c.isalpha() or c.isdecimal() for c in t)]
+        may = F.lit(True)
+        for t in known:
+            may = may & F.contains(low, F.lit(t))
+    return F.when(may, F.size(F.array_except(terms, search_terms(text))) == 0).otherwise(F.when(_c(text).isNotNull(), F.lit(False)))
 
 
 def plainto_tsquery(x) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera import dialect
 from tessera.functions import misc as M
 from tessera.functions import string as S
+from tessera.operators import aggregates as A
 from tessera.operators import relational as R
 
 from .base import query
@@ -257,3 +259,48 @@ def dialect_default_frame(t):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 5000")
 def dialect_assert_skip(t):
     return dialect.sql(t.spark, "SELECT o_orderkey, o_totalprice, ASSERT o_totalprice > 5000 MESSAGE 'small' ON FAIL SKIP FROM {orders}", orders=t.orders)
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_linenumber::BIGINT * 7) // 2 AS whole, l_extendedprice / 2 AS part, ((l_orderkey // 3) // 2)::BIGINT AS twice FROM lineitem")
+def dialect_division(t):
+    """Whole numbers are divided whole, from the left."""
+    return dialect.sql(t.spark, "SELECT l_orderkey, l_linenumber, l_linenumber * 7 / 2 AS whole, l_extendedprice / 2 AS part, l_orderkey / 3 / 2 AS twice FROM {lineitem}", lineitem=t.lineitem)
+
+
+@query("SELECT o_orderkey FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def dialect_qualify_order(t):
+    """Order by a column that isn't selected."""
+    return dialect.sql(t.spark, "SELECT o_orderkey FROM {orders} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", orders=t.orders)
+
+
+@query("SELECT count(*) AS n, 5::BIGINT AS folds, true AS even FROM orders")
+def dialect_folds(t):
+    """Five folds by a seed of choice hold near as many rows each."""
+    folds = dialect.sql(t.spark, "SELECT o_orderkey FROM {orders} CROSS VALIDATE(5, 7) ON o_orderkey AS fold", orders=t.orders).groupBy("fold").count()
+    return folds.agg(F.sum("count").alias("n"), F.count("fold").alias("folds"), (F.max("count") < 2 * F.min("count")).alias("even"))
+
+
+@query("SELECT count(*) FILTER (o_totalprice <= 5000 OR o_totalprice IS NULL) AS warned, count(*) AS n FROM orders")
+def dialect_assert_warn(t):
+    """Failing rows pass and are counted."""
+    seen = Observation()
+    out = dialect.sql(t.spark, "SELECT o_orderkey, ASSERT o_totalprice > 5000 MESSAGE 'small' ON FAIL WARN FROM {orders}", warnings=seen, orders=t.orders)
+    n = out.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return t.spark.range(1).select(F.lit(seen.get["warn_0"]).cast("long").alias("warned"), F.lit(n).cast("long").alias("n"))
+
+
+@query("""SELECT e.event_id, a.value AS asof_value
+    FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, CASE WHEN max(event_id) % 2 = 0 THEN NULL ELSE max(value) END AS value FROM events WHERE event_type = 'click' GROUP BY user_id, ts) a ON e.user_id = a.user_id AND e.ts >= a.ts""")
+def join_asof_nulls(t):
+    """The last row is taken whole, also where its value is null."""
+    e = t.events
+    right = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.when(F.max("event_id") % 2 == 0, F.lit(None)).otherwise(F.max("value")).alias("value"))
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return R.asof_join(left, right, "ts", ["user_id"], ["value"]).select("event_id", "asof_value")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, k) AS first_key, arg_max(o_orderkey, k) AS last_key FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS k FROM orders) GROUP BY o_custkey")
+def agg_arg_nulls(t):
+    """Null keys are skipped."""
+    rows = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("k"))
+    return rows.groupBy("o_custkey").agg(A.arg_min("o_orderkey", "k", "o_orderkey").alias("first_key"), A.arg_max("o_orderkey", "k", "o_orderkey").alias("last_key"))

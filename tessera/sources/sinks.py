@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera import storage
@@ -35,21 +35,23 @@ def copy_to(df: DataFrame, path: str, format: str | None = None, **options) -> D
     spark, kind = df.sparkSession, resolve(path, format)
     named = {"delimiter": "sep", "null_string": "nullValue", "line_ending": "lineSep", "row_group_size": "parquet.block.size"}
     settings = {named.get(k, k): v for k, v in options.items()}
-    counted = storage.stored(df, "copy")
+    seen = Observation()
+    counted = df if kind == "arrow" else df.observe(seen, F.count(F.lit(1)).alias("n"))  # counted while it is written
     if kind == "arrow":
-        _arrow(counted, path)
+        n = _arrow(df, path)
     elif kind == "csv":
         counted.write.options(**({"header": True, "quote": '"', "escape": '"'} | ({"sep": "\t"} if path.endswith(".tsv") else {}) | settings)).csv(path)
     elif kind in ("json", "jsonl"):
         counted.write.options(**settings).json(path)
     else:
         counted.write.options(**settings).parquet(path)
-    rows = counted.agg(F.count(F.lit(1)).alias("rows_written"))
-    return rows.withColumn("bytes_written", F.lit(_size(spark, path)).cast("long"))
+    if kind != "arrow":
+        n = seen.get["n"]
+    return spark.range(1).select(F.lit(n).cast("long").alias("rows_written"), F.lit(_size(spark, path)).cast("long").alias("bytes_written"))
 
 
-def _arrow(df: DataFrame, path: str) -> None:
-    """One IPC file per partition through Spark's own file systems: bytes are gathered in rows, then renamed by the driver's commit."""
+def _arrow(df: DataFrame, path: str) -> int:
+    """How many rows were written. One IPC file per partition through Spark's own file systems: bytes are gathered in rows, then renamed by the driver's commit."""
     spark, tag = df.sparkSession, uuid.uuid4().hex[:8]
     files, p = storage.hadoop(spark, path)
     files.mkdirs(p)
@@ -73,4 +75,4 @@ def _arrow(df: DataFrame, path: str) -> None:
             where.move(f"{name}.{TaskContext.get().taskAttemptId()}.tmp", name)  # a repeated task replaces its file
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
