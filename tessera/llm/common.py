@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def map_batches(df: DataFrame, run, drop: int = 0) -> DataFrame:
+    """``df.mapInArrow(run, ...)`` for rows that keep their columns, all but the last ``drop``, whatever their names.
+
+    Columns travel by place, as names with dots can't be told to a worker; ``run`` sees batches with the names.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def by_place(iterator):
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names) for b in iterator):
+            yield pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(batch.num_columns)])
+
+    kept = names[: len(names) - drop]
+    return plain.mapInArrow(by_place, plain.select(plain.columns[: len(kept)]).schema).toDF(*kept)
+
+
 def training_ids(labels: DataFrame, column: str, value: int, bound: int, held: bool = True) -> DataFrame:
     """At most ``bound`` labelled doc_ids, those with the smallest hash, so that a broadcast of them is bounded.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import free_name, materialize, ship
+from .common import free_name, map_batches, materialize, ship
 
 WINDOW = 13
 BLOCK_WORDS = 400_000
@@ -305,7 +305,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_cove
     texts = rows.select(F.col(row).alias("__row"), F.col("text").cast("string").alias("text"))
     every = _block_by_block(spark, first, others, lambda a, k: _block_spans(texts, a))
     spans = every.groupBy(F.col("__row").alias(row)).agg(F.collect_list("spans").alias(listed))
-    return _cut_listed(rows.join(spans, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], listed), docs.schema, drop_coverage)
+    return _cut_listed(rows.join(spans, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], listed), drop_coverage)
 
 
 def _block_spans(texts: DataFrame, automaton) -> DataFrame:
@@ -335,10 +335,10 @@ def _cut_found(docs: DataFrame, automaton, drop_coverage: float) -> DataFrame:
         for batch in iterator:
             yield _cut_batch(batch, _hits(batch.column(batch.schema.get_field_index("text")), automaton.value), drop_coverage)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)
 
 
-def _cut_listed(rows: DataFrame, schema, drop_coverage: float) -> DataFrame:
+def _cut_listed(rows: DataFrame, drop_coverage: float) -> DataFrame:
     """Cut the spans that ``__spans``, the last column, lists by block."""
 
     def run(iterator):
@@ -347,7 +347,7 @@ def _cut_listed(rows: DataFrame, schema, drop_coverage: float) -> DataFrame:
             hits = {k: merged([x for y in s for x in json.loads(y)]) for k, s in enumerate(listed) if s}
             yield _cut_batch(batch.select(range(batch.num_columns - 1)), hits, drop_coverage)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, drop=1)
 
 
 def _cut_batch(batch: pa.RecordBatch, hits: dict[int, list[list[int]]], drop_coverage: float) -> pa.RecordBatch:

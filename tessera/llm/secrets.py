@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import discard, materialize, ship
+from .common import discard, map_batches, materialize, ship
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -403,4 +403,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE, limit:
                     batch = batch.set_column(c, batch.schema.field(c), pa.array(n, batch.schema.field(c).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)

@@ -408,6 +408,60 @@ def test_shards(small):
     total = sum(size.values())
     largest = max(r["size"] for r in got)
     assert max(size.values()) <= total / 24 + 2 * largest
+    import zlib
+
+    of = Counter(t.values())
+    for text, shards in place.items():
+        own = (len((text or "").encode()) + 8) * of[text]
+        assert len(shards) == 1 or own > kdshard.WHOLE * total / 24
+    assert all(r["text_crc32"] == zlib.crc32((t[r["doc_id"]] or "").encode()) for r in got)
+
+
+def test_heavy_groups_stay_whole(spark):
+    """Groups of up to a shard's bytes lie in one shard each, and shards stay near equal."""
+    import random
+
+    rng = random.Random(2)
+    made = [(i, f"text {i} " + "y" * rng.randint(0, 400), rng.choice(["en", "de"]), f"s{i % 7}") for i in range(3000)]
+    for g, n in enumerate((120, 90, 60, 40, 25, 12, 5, 3, 2)):
+        made += [(len(made) + k, f"copy of group {g} " + "z" * 200, "en", "s") for k in range(n)]
+    text = {i: t for i, t, _, _ in made}
+    size, place = Counter(), defaultdict(set)
+    for r in kdshard.shard(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect():
+        size[r["shard"]] += r["size"]
+        place[text[r["doc_id"]]].add(r["shard"])
+    assert all(len(x) == 1 for t, x in place.items() if t.startswith("copy"))
+    assert len(size) == 24 and max(size.values()) < 1.05 * min(size.values())
+
+
+def test_tree_splits_at_weighted_medians(spark):
+    """Leaves of a small tree against plain Python: the widest dimension, cut where the weight is nearest to half."""
+    import random
+
+    rng = random.Random(9)
+    points = [(rng.randrange(1 << 50), rng.randrange(1 << 45), rng.randrange(1 << 42), rng.randint(1, 50)) for _ in range(400)]
+    names = [f"k_{d}" for d in kdshard.DIMENSIONS]
+    df = spark.createDataFrame(points, ", ".join(f"{n} long" for n in names) + ", weight long")
+    got = {(n, d): k for n, d, k in kdshard.tree(df, [1.0] * 4)}
+
+    def split(node, rows, parts):
+        if parts < 2:
+            return
+        width = [(max(r[i] for r in rows) >> kdshard.TIE) - (min(r[i] for r in rows) >> kdshard.TIE) for i in range(3)]
+        i = max(range(3), key=lambda j: (width[j], -j))
+        rows = sorted(rows, key=lambda r: r[i])
+        goal, total, best = sum(r[3] for r in rows) / 2, 0, None
+        for r in rows[:-1]:
+            total += r[3]
+            if best is None or abs(total - goal) < best[0]:
+                best = (abs(total - goal), r[i], total)
+        k = got[node, kdshard.DIMENSIONS[i]]
+        left = [r for r in rows if r[i] <= k]
+        assert abs(sum(r[3] for r in left) - goal) <= best[0] + 1e-9
+        split(2 * node, left, parts // 2)
+        split(2 * node + 1, [r for r in rows if r[i] > k], parts - parts // 2)
+
+    split(1, points, 4)
 
 
 def test_shards_of_one_large_group(spark):
@@ -423,6 +477,67 @@ def test_toxicity(spark, small):
     assert set(got) == set(texts(small[0])) and all(0 <= r["score"] <= 1 and r["held_out"] == held_out(d) and r["predicted"] == (r["score"] >= 0.7) for d, r in got.items())
 
 
+@pytest.fixture(scope="module")
+def channel(spark, small):
+    return toxicity.Channel(toxicity.count_trigrams(small[0]))
+
+
+def test_decoding_is_the_best_of_all_paths(channel):
+    """Every path of short strings is scored; the decoder's is among the best."""
+    import itertools
+
+    def options(string):
+        spaced = " " in string
+        for m in itertools.groupby(string):
+            run = len(list(m[1]))
+            c = m[0]
+            own = {c * run: 0.0}
+            if c.isalpha():
+                own |= {c * k: toxicity.SHRINK for k in (1, 2) if k < run}
+            for letter in toxicity.STANDS_FOR.get(c, ""):
+                own |= {letter * k: toxicity.SUBSTITUTE * k + (toxicity.SHRINK if k < run else 0) for k in {1, 2, run} if k <= run}
+            if spaced and c in " ._-*,'" or c in "._-*":
+                own[""] = toxicity.DROP
+            yield list(own.items())
+
+    def value(path):
+        a = b = 0
+        total = sum(cost for _, cost in path)
+        for ch in "".join(t for t, _ in path):
+            k = toxicity._code(ch)
+            total += float(channel.log[a, b, k]) - (2.0 if not k and ch != " " else 0.0)
+            a, b = b, k
+        return total + float(channel.log[a, b, 0])
+
+    for string in ("h3ll0", "t00l", "a.b.c", "h e l p", "wwwoord", "n1ce", "i  d", "b@ll!s"):
+        rows = [x for x in options(string)]
+        paths = [p for p in itertools.product(*rows)]
+        if string[0] in "._-*" or string[-1] in "._-*":
+            continue
+        best = max(map(value, paths))
+        mine = [value(p) for p in paths if "".join(t for t, _ in p) == channel._restore(string)]
+        assert mine and abs(max(mine) - best) < 1e-3, string
+
+
+def test_every_form_of_disguise_reaches_the_decoder():
+    import numpy as np
+
+    from tessera.llm import vec
+
+    word = "scumbag"
+    data = np.frombuffer(word.encode(), np.uint8)
+    _, _, hashes = toxicity.skeletons(data, np.array([0]), np.array([len(data)]))
+    learned = vec.Table()
+    learned.put(np.array([hashes[0][hashes[0] != 0][-1]]), np.zeros(1, np.int32))
+    forms = ["sscumbag", "scummbag", "sc.um-bag", "s_c_u_m_b_a_g", "scumba9", "5cumbag", "s c u m b a g", "s  c  u m b a g", "s. c. u. m. b. a. g.", "(scum.bag)", "well-scum-bag", "a s c u m b a g b", "$cumb4g"]
+    for form in forms:
+        text = f"there stands {form} here, plain words".encode()
+        spans = toxicity.ambiguous(vec.LOWER[np.frombuffer(text, np.uint8)], np.array([0, len(text)]), learned)
+        assert spans, form
+    plain = b"letter well-known 2024 a b c scumbag nothing"
+    assert not toxicity.ambiguous(np.frombuffer(plain, np.uint8), np.array([0, len(plain)]), learned)
+
+
 def test_toxic_words_are_learned_and_restored(spark):
     import random
 
