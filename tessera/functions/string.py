@@ -223,6 +223,7 @@ _UNISTR = _series(_unistr)
 _IDENT = _series(_parse_ident, T.ArrayType(T.StringType()))
 _CHR = _series(lambda n: chr(int(n)))
 
+# Words that a full-text query passes over.
 STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with").split()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Limits of the findings.
 LIMITS = {"missing": 0.3, "critical": 0.8, "zeros": 0.5, "skew": 2.0, "kurtosis": 7.0, "outliers": 0.05, "one_hot": 20, "ordinal": 30, "near": 0.95, "identifier": 0.9}
 
 
