@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import image as I
+from tessera.functions import mesh as G
 
 from .base import query
 
@@ -75,3 +76,23 @@ def waveforms(t):
     d = rows.select("p_partkey", wav.alias("x")).select("p_partkey", I.audio_decode("x").alias("x"))
     mono = I.audio_samples(16000, "x")
     return d.select("p_partkey", I.audio_sample_rate("x").alias("rate"), F.round(I.audio_duration("x"), 4).alias("dur"), F.size(mono).alias("n"), F.size(I.audio_samples(8000, "x")).alias("half"), F.size(I.audio_waveform_envelope("x", 4)).alias("env"), I.image_width(I.audio_waveform("x", 32, 8)).alias("ww"), F.size(I.audio_to_log_mel(mono, 80)).alias("mel"), (I.audio_to_mono("x") == F.col("x")).alias("mono"))
+
+
+@query("""SELECT p_partkey, 4 AS w, 3 AS h, true AS org, 12 AS n, 12 AS tri, [-1.5, -1.0, p_size::DOUBLE] AS lo, 12 AS ply, 12 AS obj, 84 + 12 * 50 AS stl, 1.0 AS nz, 6 AS sure, 10 AS mid, 12 AS vox, p_size::DOUBLE AS swapped, 0 AS none FROM part""")
+def meshes(t):
+    """A level plane seen from above: three rows of four points."""
+    depth = F.expr("transform(sequence(1, 12), i -> CAST(p_size AS DOUBLE))")
+    tilt = F.expr("transform(sequence(1, 12), i -> CAST(i AS DOUBLE))")
+    k = [1.0, 0.0, 1.5, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0]
+    g, slope = G.point_cloud_from_depth_orthographic_intrinsics(depth, 4, 3, k), G.point_cloud_from_depth_orthographic_intrinsics(tilt, 4, 3, k)
+    d = t.part.select("p_partkey", "p_size", g.alias("g"), slope.alias("s"))
+    d = d.withColumn("m", G.mesh_from_organized(F.col("g")))
+    g, m = F.col("g"), F.col("m")
+    first = lambda p: F.get(p, F.lit(0))
+    low = G.mesh_bbox_min(m)
+    return d.select(
+        "p_partkey", G.point_cloud_width(g).alias("w"), G.point_cloud_height(g).alias("h"), G.point_cloud_is_organized(g).alias("org"), G.mesh_vertex_count(m).alias("n"), G.mesh_triangle_count(m).alias("tri"), F.array(low["x"], low["y"], low["z"]).alias("lo"), F.size(G.pointcloud_from_ply(G.point_cloud_to_ply(g["points"]))).alias("ply"),
+        F.regexp_count(G.mesh_to_obj(m).cast("string"), F.lit("v ")).alias("obj"), F.octet_length(G.mesh_to_stl(m)).alias("stl"), F.abs(first(G.mesh_compute_normals(m)["normals"])["z"]).alias("nz"),
+        F.size(G.point_cloud_from_depth_pinhole_with_confidence(F.transform(g["points"], lambda p: p["z"]), F.transform(F.col("s.points"), lambda p: p["z"]), 4, 3, 60.0, 7.0)).alias("sure"), F.size(G.pc_filter_depth_percentile(F.col("s.points"), 0.05, 0.95)).alias("mid"), F.size(G.pc_voxel_consensus(g["points"], 0.5, 1)).alias("vox"),
+        first(G.mesh_swap_axes(m, [3, 1, 2])["vertices"])["x"].alias("swapped"), F.size(G.pc_empty()).alias("none"),
+    )
