@@ -304,3 +304,16 @@ def agg_arg_nulls(t):
     """Null keys are skipped."""
     rows = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("k"))
     return rows.groupBy("o_custkey").agg(A.arg_min("o_orderkey", "k", "o_orderkey").alias("first_key"), A.arg_max("o_orderkey", "k", "o_orderkey").alias("last_key"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS off, round(l_extendedprice - l_extendedprice * l_discount, 2) AS paid FROM lineitem WHERE l_extendedprice - l_extendedprice * l_discount > 20000 AND l_quantity > 5")
+def dialect_define(t):
+    """A block of bindings and assertions before the list, and an assertion after the table."""
+    text = "SELECT DEFINE { LET off = l_extendedprice * l_discount; LET paid = l_extendedprice - off; ASSERT paid > 20000 ON FAIL SKIP; } l_orderkey, l_linenumber, round(off, 2) AS off, round(paid, 2) AS paid FROM {lineitem} ASSERT l_quantity > 5 ON FAIL SKIP"
+    return dialect.sql(t.spark, text, lineitem=t.lineitem)
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 5) AS s, vec_id + 1 AS more FROM embeddings")
+def dialect_let_parts(t):
+    """Names for the places of an array and the fields of a struct."""
+    return dialect.sql(t.spark, "SELECT LET (a, b) = embedding, LET {one, two} = named_struct('two', vec_id, 'one', 1), vec_id, round(CAST(a AS DOUBLE) + CAST(b AS DOUBLE), 5) AS s, two + one AS more FROM {embeddings}", embeddings=t.embeddings)
