@@ -306,10 +306,10 @@ def agg_arg_nulls(t):
     return rows.groupBy("o_custkey").agg(A.arg_min("o_orderkey", "k", "o_orderkey").alias("first_key"), A.arg_max("o_orderkey", "k", "o_orderkey").alias("last_key"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS off, round(l_extendedprice - l_extendedprice * l_discount, 2) AS paid FROM lineitem WHERE l_extendedprice - l_extendedprice * l_discount > 20000 AND l_quantity > 5")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 5) AS off, round(l_extendedprice - l_extendedprice * l_discount, 5) AS paid FROM lineitem WHERE l_extendedprice - l_extendedprice * l_discount > 20000 AND l_quantity > 5")
 def dialect_define(t):
     """A block of bindings and assertions before the list, and an assertion after the table."""
-    text = "SELECT DEFINE { LET off = l_extendedprice * l_discount; LET paid = l_extendedprice - off; ASSERT paid > 20000 ON FAIL SKIP; } l_orderkey, l_linenumber, round(off, 2) AS off, round(paid, 2) AS paid FROM {lineitem} ASSERT l_quantity > 5 ON FAIL SKIP"
+    text = "SELECT DEFINE { LET off = l_extendedprice * l_discount; LET paid = l_extendedprice - off; ASSERT paid > 20000 ON FAIL SKIP; } l_orderkey, l_linenumber, round(off, 5) AS off, round(paid, 5) AS paid FROM {lineitem} ASSERT l_quantity > 5 ON FAIL SKIP"
     return dialect.sql(t.spark, text, lineitem=t.lineitem)
 
 
