@@ -15,8 +15,8 @@ Defined results: null and empty texts have the zero fingerprint and link like an
 are kept each; a null doc_id takes the component of its fingerprint and is never its name (a component of nulls
 alone has none); an empty table gives no rows; other columns are ignored.
 
-``deduplicate``, the pipeline's stage, has another law: exact Jaccard similarity of five-word shingle sets, by a
-prefix-filter join. It takes the components' contraction from here, but not the fingerprints.
+``deduplicate``, the pipeline's stage, has another law: exact Jaccard similarity of five-word shingle sets. The
+Gray-order index joins the groups whose fingerprints are near first; a prefix-filter join finds all the rest.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize
+from .common import discard, free_name, materialize, ship
 
 SEED = 42
 RADIUS = 2
@@ -37,6 +37,7 @@ FANOUT = 8
 #: Near-duplicates of the pipeline: words of a shingle, and least Jaccard similarity as a fraction.
 SHINGLE = 5
 SIMILAR = (4, 5)
+HEADS = 4
 PAIRS_AT_ONCE = 1 << 20
 MASKS = [sum(0xFFFF << (16 * b) for b in (i, j)) for i in range(4) for j in range(i + 1, 4)]
 
@@ -196,10 +197,16 @@ def _signed(x: int) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in the edges that isn't its component's smallest: alternating star contraction.
 
-    Each round is stored in the shared folder; the rounds grow with the logarithm of the largest component.
+    Each round is stored in the shared folder; the rounds grow with the logarithm of the largest component. Edges are
+    counted and summed by hash while they are stored: two rounds with equal figures are the last.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "cc")
-    last = None
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "cc")
+        return out, (seen.get["n"], seen.get["h"])
+
+    now, state = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     while True:
         # large star: link every larger neighbour to the smallest of the neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -208,15 +215,16 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: link the smaller neighbours, and the node itself, to the smallest of them
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(lower.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "cc")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
+        last, before = state, now
+        now, state = kept(small)
+        discard(before)
         if state == last:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        last = state
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, node: int = NODE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``docs``."""
+    ship(docs.sparkSession)
     fps = materialize(with_fingerprints(docs, k), "simhash-fp")
     named = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(named.select("fp"), node)).select(F.col("id").alias("fp"), "root")
@@ -260,7 +268,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * shared >= SIMILAR[0] * (len(a) + len(b) - shared)
 
 
-def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, row: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sixteenth of the rows, and their ranks by frequency.
 
     They only order the shingles within a set. Any order finds the same pairs; this one keeps the lists short.
@@ -272,7 +280,7 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
 
-    part = rows.where(F.pmod(F.xxhash64("__row"), F.lit(16)) == 0).select(F.col("text").cast("string").alias("text"))
+    part = rows.where(F.pmod(F.xxhash64(row), F.lit(16)) == 0).select(F.col("text").cast("string").alias("text"))
     least = max(3, part.count() // 20_000)
     found = part.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toPandas()
     s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy()
@@ -282,20 +290,21 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], rank[order]
 
 
-def with_prefixes(rows: DataFrame, k: int) -> DataFrame:
-    """__row, doc_id, ``key`` (names the shingle set), ``n`` (its size) and ``prefix``, its rarest shingles.
+def with_prefixes(rows: DataFrame, row: str, k: int) -> DataFrame:
+    """row, doc_id, ``key`` (names the shingle set), ``fp`` (its fingerprint), ``n`` (its size) and ``prefix``.
 
     A set of n shingles shares at least 0.8 n with a similar one, so both have a shingle in common among the first
-    n - ceil(0.8 n) + 1 in one order for all.
+    n - ceil(0.8 n) + 1, the prefix, in one order for all. Rare shingles come first.
     """
-    common = rows.sparkSession.sparkContext.broadcast(_common(rows, k))
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, row, k))
 
     def run(iterator):
         names, ranks = common.value
-        for row, ids, text in vec.batches(iterator, "__row", "doc_id", "text"):
-            keys, sizes, prefixes = [], [], []
+        for at_row, ids, text in vec.batches(iterator, "row", "doc_id", "text"):
+            keys, fps, sizes, prefixes = [], [], [], []
             for s in _sets(text, k):
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
+                fps.append(fingerprint(s))
                 sizes.append(len(s))
                 if len(s) and len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
@@ -304,14 +313,21 @@ def with_prefixes(rows: DataFrame, k: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([row, ids, pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["__row", "doc_id", "key", "n", "prefix"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps, sizes)]
+            yield pa.RecordBatch.from_arrays([at_row, ids, *longs, lists], ["row", "doc_id", "key", "fp", "n", "prefix"])
 
-    texts = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "__row long, doc_id long, key long, n long, prefix array<long>")
+    texts = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "row long, doc_id long, key long, fp long, n long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Those pairs of keys (a, b) whose texts' shingle sets are similar."""
+def verified(pairs: DataFrame, named: DataFrame, rows: DataFrame, row: str, k: int) -> DataFrame:
+    """Those pairs of keys (a, b) whose texts' shingle sets are similar; each pair's texts are compared exactly.
+
+    Only texts that are in some pair are read out of ``rows``; ``named`` has one row for each key.
+    """
+    pairs = materialize(pairs, "dedup-pairs")
+    wanted = named.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select(F.col("row").alias(row), "key")
+    texts = materialize(rows.select(row, F.col("text").cast("string").alias("text")).join(wanted, row).select("key", "text"), "dedup-texts")
 
     def run(iterator):
         for a, b, x, y in vec.batches(iterator, "a", "b", "x", "y"):
@@ -319,63 +335,100 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dedup-edges")
+    discard(pairs, texts)
+    return out
+
+
+def _near_fingerprints(keyed: DataFrame, node: int) -> DataFrame:
+    """Pairs (a, b): each key with the smallest key of a fingerprint that the Gray-order index has linked to its own."""
+    heads = materialize(keyed.groupBy("fp").agg(F.min("key").alias("a")), "dedup-heads")
+    linked = links(heads.select("fp"), node).groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("to"))
+    to = heads.join(linked, "fp", "left").select("fp", F.coalesce("to", "fp").alias("to")).join(heads.select(F.col("fp").alias("to"), "a"), "to").select("fp", "a")
+    return keyed.join(to, "fp").where("a != key").select("a", F.col("key").alias("b"))
 
 
-def similar_sets(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def _may_be_similar(c: str, x: str, y: str):
+    """No pair of sets of ``x`` and ``y`` shingles with ``c`` common ones in their prefixes is similar unless this holds.
+
+    One of the two prefixes ends first in the order; of the set it belongs to, only what follows the prefix can be
+    common besides the ``c``. Similar sets have 4/9 of ``x + y`` in common.
+    """
+    return F.expr(f"9 * ({c} + greatest((4 * {x} + 4) div 5, (4 * {y} + 4) div 5) - 1) >= 4 * ({x} + {y})")
+
+
+def similar_sets(rows: DataFrame, row: str, sets: DataFrame, k: int, node: int = NODE) -> DataFrame:
     """(key, root) of the components of all pairs of shingle sets with Jaccard similarity 0.8 or more.
 
-    Keys that share a prefix shingle are candidates. While groups are large, a round tests one member of a shingle's
-    list against the rest, which joins most of a group; at last all pairs not joined yet are tested.
+    Groups whose fingerprints are near are joined first, through the index. Keys that share a prefix shingle are
+    candidates for the rest. While their lists are long, a round draws ``HEADS`` heads for each list by hashes of keys
+    and tests each key against those that it shares most shingles with, which joins most of a group; lists within one
+    component are done. At last all pairs that aren't joined yet are tested.
     """
     spark = rows.sparkSession
-    listed = sets.select("key", "n", F.posexplode("prefix").alias("i", "s"))
+    named = materialize(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp")), "dedup-keys")
+    listed = sets.select("key", "n", F.explode("prefix").alias("s"))
     shared = materialize(listed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("s"), "dedup-shared")
-    posts = materialize(listed.join(shared, "s").select("s", "key", "n", "i").distinct(), "dedup-posts")
-    named = sets.join(posts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("__row").alias("__row"))
-    texts = materialize(rows.join(named, "__row").select("key", F.col("text").cast("string").alias("text")), "dedup-texts")
-    roots = spark.createDataFrame([], "key long, root long")
-    edges = None
-    n_posts = posts.count()
+    posts = materialize(listed.join(shared, "s").select("s", "key", "n").distinct(), "dedup-posts")
+    discard(shared)
+    n_keys, n_posts = named.count(), posts.count()
+    new = verified(_near_fingerprints(named.select("key", "fp"), node), named, rows, row, k)
+    roots, turn, last = spark.createDataFrame([], "key long, root long"), 0, False
     while True:
-        live = posts.join(roots, "key", "left").select("s", "key", "n", "i", F.coalesce("root", "key").alias("c"))
-        live = materialize(live, "dedup-live")
-        held = live.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-        left = held.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        if not left:
+        found = new.count()
+        if found:
+            old, roots = roots, materialize(components(new.union(roots.select("key", "root"))).select(F.col("id").alias("key"), "root"), "dedup-roots")
+            discard(old)
+        discard(new)
+        if last:
+            discard(posts, named)
             return roots
-        last = left <= 4 * n_posts
+        placed = posts.drop("c", "r").join(roots, "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("c"))
+        open_lists = placed.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.count(F.lit(1)).alias("own"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("own > 1")
+        open_lists = materialize(open_lists, "dedup-open")
+        left = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
+        # of a prefix only what stands in open lists can be common with another component, so a set of n with k such
+        # shingles shares ceil(0.8 n) - 1 + k at most
+        most = F.expr("(4 * n + 4) div 5 - 1") + F.count(F.lit(1)).over(Window.partitionBy("key"))
+        live = materialize(placed.join(open_lists.select("s"), "s", "left_semi").withColumn("r", most), "dedup-live")
+        discard(posts, open_lists)
+        posts = live
+        last = left <= 4 * n_posts or turn > 0 and found * 1000 < n_keys
+        may = F.expr("5 * nx >= 4 * ny and 5 * ny >= 4 * nx and 9 * least(rx, ry) >= 4 * (nx + ny)")
         if last:
-            x, y = (live.select("s", *[F.col(q).alias(q + z) for q in ("key", "n", "i", "c")]) for z in "xy")
-            # the first shingle in common leaves room for the overlap that 0.8 needs
-            need = F.greatest(F.col("ix") + F.ceil(4 * (F.col("nx") + F.col("ny")) / 9) - F.col("nx"), F.col("iy") + F.ceil(4 * (F.col("nx") + F.col("ny")) / 9) - F.col("ny")) <= 0
-            pairs = x.join(y, "s").where((F.col("keyx") < F.col("keyy")) & (F.col("cx") != F.col("cy")) & need)
-            pairs = pairs.select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
+            x, y = (live.select("s", *[F.col(q).alias(q + z) for q in ("key", "n", "c", "r")]) for z in "xy")
+            met = x.join(y, "s").where((F.col("keyx") < F.col("keyy")) & (F.col("cx") != F.col("cy")) & may)
         else:
-            hubs = live.groupBy("s").agg(F.min("c").alias("h"), F.max("c").alias("hi"), F.min_by("key", "c").alias("a")).where("h != hi")
-            pairs = live.join(hubs, "s").where("c != h").select("a", F.col("key").alias("b")).distinct()
-        new = materialize(verified(pairs, texts, k), "dedup-edges")
-        grown = new.limit(1).count() > 0
-        edges = new if edges is None else edges.union(new)
-        if grown:
-            roots = components(edges).select(F.col("id").alias("key"), "root")
+            # a draw by keys is likely to fall in the largest component, which the rest is then tested against
+            draws = [F.min_by(F.struct("c", "key", "n", "r"), F.struct(F.xxhash64("key", F.lit(turn * HEADS + d)), "key")).alias(f"h{d}") for d in range(HEADS)]
+            heads = live.groupBy("s").agg(*draws)
+            met = live.join(heads, "s").select("key", "n", "c", "r", F.explode(F.array_distinct(F.array(*[f"h{d}" for d in range(HEADS)]))).alias("h")).where("c != h.c")
+            met = met.select(F.col("h.key").alias("keyx"), F.col("h.n").alias("nx"), F.col("h.r").alias("rx"), F.col("key").alias("keyy"), F.col("n").alias("ny"), F.col("r").alias("ry")).where(may)
+        pairs = met.groupBy("keyx", "keyy", "nx", "ny").agg(F.count(F.lit(1)).alias("m")).where(_may_be_similar("m", "nx", "ny"))
         if last:
-            return roots
-        if not grown:
-            n_posts = left  # stars join nothing any more: test the rest
+            pairs = pairs.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))
+        else:
+            best = pairs.groupBy(F.col("keyy").alias("b")).agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "keyx")), asc=False), 1, HEADS).alias("x"))
+            pairs = best.select(F.explode("x.keyx").alias("a"), "b")
+        new, turn = verified(pairs, named, rows, row, k), turn + 1
 
 
-def deduplicate(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = SHINGLE, node: int = NODE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id.
 
     Near-duplicates have shingle sets of ``k`` words with a Jaccard similarity of 0.8 or more; groups are components.
-    Texts without words are one group. Rows have a stored key of their own: of rows with equal doc_id one stays, and
-    a row without a doc_id stays only if no row of its group has one.
+    A text of fewer words, however few, is one shingle; texts without words, empty and null ones, are one group.
+    Rows have a stored key of their own: of rows with equal doc_id one stays, and a row without a doc_id stays only
+    if no row of its group has one. Whole texts are read, whatever their length; a text's sets are held one at a
+    time. An empty table stays empty; columns are passed on whatever their names.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
-    sets = materialize(with_prefixes(rows, k), "dedup-sets")
-    placed = sets.join(similar_sets(rows, sets, k), "key", "left").select("__row", "doc_id", F.coalesce("root", "key").alias("root"))
+    ship(docs.sparkSession)
+    row = free_name(docs, "row_key")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    sets = materialize(with_prefixes(rows, row, k), "dedup-sets")
+    placed = sets.join(similar_sets(rows, row, sets, k, node), "key", "left").select("row", "doc_id", F.coalesce("root", "key").alias("root"))
     placed = materialize(placed, "dedup-groups")
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").select("root", F.col("x.__row").alias("__best"))
-    drop = placed.join(best, "root").where("__row != __best").select("__row")
-    return rows.join(drop, "__row", "left_anti").select(*docs.columns)
+    discard(sets)
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").select("root", F.col("x.row").alias("best"))
+    drop = placed.join(best, "root").where("row != best").select(F.col("row").alias(row))
+    return rows.join(drop, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
