@@ -38,6 +38,12 @@ FANOUT = 8
 SHINGLE = 5
 SIMILAR = (4, 5)
 HEADS = 4
+#: Lists of more keys than this are tested against heads first.
+LONG = 8
+#: Bitmaps, 4 kB each, that are broadcast at most; beyond, rows are found by a join.
+BITMAPS = 8192
+#: Columns of 64 bits each, of which a set's odd bits are made up.
+ODD = ("odd0", "odd1", "odd2", "odd3")
 PAIRS_AT_ONCE = 1 << 20
 MASKS = [sum(0xFFFF << (16 * b) for b in (i, j)) for i in range(4) for j in range(i + 1, 4)]
 
@@ -282,7 +288,9 @@ def _common(rows: DataFrame, row: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     part = rows.where(F.pmod(F.xxhash64(row), F.lit(16)) == 0).select(F.col("text").cast("string").alias("text"))
     least = max(3, part.count() // 20_000)
-    found = part.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toPandas()
+    counted = materialize(part.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "dedup-common")
+    found = counted.toPandas()
+    discard(counted)
     s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy()
     rank = np.empty(len(s), np.int64)
     rank[np.lexsort((s, n))] = np.arange(len(s))
@@ -290,22 +298,30 @@ def _common(rows: DataFrame, row: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], rank[order]
 
 
+def odd_bits(s: np.ndarray) -> np.ndarray:
+    """256 bits as four words: which values of the mixed hashes' upper bits occur an odd number of times."""
+    n = np.bincount((vec.mix(s) >> np.uint64(56)).astype(np.int64), minlength=256)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def with_prefixes(rows: DataFrame, row: str, k: int) -> DataFrame:
-    """row, doc_id, ``key`` (names the shingle set), ``fp`` (its fingerprint), ``n`` (its size) and ``prefix``.
+    """row, doc_id, ``key`` (names the shingle set), ``fp`` (its fingerprint), ``n`` (its size), ``odd0`` to ``odd3`` and ``prefix``.
 
     A set of n shingles shares at least 0.8 n with a similar one, so both have a shingle in common among the first
-    n - ceil(0.8 n) + 1, the prefix, in one order for all. Rare shingles come first.
+    n - ceil(0.8 n) + 1, the prefix, in one order for all. Rare shingles come first. A bit of the ``odd`` is 1 if an
+    odd number of the shingles fall to it, so two sets have at least as many different shingles as different bits.
     """
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, row, k))
 
     def run(iterator):
         names, ranks = common.value
         for at_row, ids, text in vec.batches(iterator, "row", "doc_id", "text"):
-            keys, fps, sizes, prefixes = [], [], [], []
+            keys, fps, sizes, odds, prefixes = [], [], [], [], []
             for s in _sets(text, k):
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
                 fps.append(fingerprint(s))
                 sizes.append(len(s))
+                odds.append(odd_bits(s))
                 if len(s) and len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.argsort(np.where(names[at] == s, ranks[at], -1), kind="stable")]
@@ -313,11 +329,39 @@ def with_prefixes(rows: DataFrame, row: str, k: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps, sizes)]
-            yield pa.RecordBatch.from_arrays([at_row, ids, *longs, lists], ["row", "doc_id", "key", "fp", "n", "prefix"])
+            words = np.array(odds, np.uint64).reshape(-1, len(ODD)).T
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps, sizes, *words)]
+            yield pa.RecordBatch.from_arrays([at_row, ids, *longs, lists], ["row", "doc_id", "key", "fp", "n", *ODD, "prefix"])
 
     texts = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "row long, doc_id long, key long, fp long, n long, prefix array<long>")
+    return texts.mapInArrow(run, f"row long, doc_id long, key long, fp long, n long, {', '.join(f'{q} long' for q in ODD)}, prefix array<long>")
+
+
+def _bitmaps(keys: DataFrame) -> DataFrame:
+    """``bucket`` and ``bits`` (4 kB): the values of ``k``, none of them negative. Buckets of 32,768 values start at 1 with 1."""
+    # dealt by bucket first, so that each bitmap is made once
+    dealt = keys.select(F.bitmap_bucket_number("k").alias("bucket"), F.bitmap_bit_position("k").alias("at")).repartition("bucket")
+    return dealt.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def among(rows: DataFrame, row: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The ``rows`` whose key ``row`` is in the one column of ``wanted``, or else the others; ``rows`` aren't shuffled.
+
+    Keys are of ``monotonically_increasing_id``, so a bitmap holds many; where there are too many bitmaps to broadcast
+    the rows are joined.
+    """
+    keys = wanted.toDF("k")
+    bits = materialize(_bitmaps(keys), "dedup-bits")
+    if bits.count() > BITMAPS:
+        discard(bits)
+        return rows.join(keys, F.col(row) == F.col("k"), "left_semi" if inside else "left_anti")
+    names = [free_name(rows, "__bucket"), free_name(rows, "__bits")]
+    bucket, held = (F.col(n) for n in names)
+    at = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.substring(held, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_in = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    met = rows.join(F.broadcast(bits.toDF(*names)), F.bitmap_bucket_number(row) == bucket, "inner" if inside else "left")
+    return met.where(is_in if inside else ~is_in).drop(*names)
 
 
 def verified(pairs: DataFrame, named: DataFrame, rows: DataFrame, row: str, k: int) -> DataFrame:
@@ -326,17 +370,19 @@ def verified(pairs: DataFrame, named: DataFrame, rows: DataFrame, row: str, k: i
     Only texts that are in some pair are read out of ``rows``; ``named`` has one row for each key.
     """
     pairs = materialize(pairs, "dedup-pairs")
-    wanted = named.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select(F.col("row").alias(row), "key")
-    texts = materialize(rows.select(row, F.col("text").cast("string").alias("text")).join(wanted, row).select("key", "text"), "dedup-texts")
+    placed = pairs.join(named.select(F.col("key").alias("a"), F.col("row").alias("ra")), "a").join(named.select(F.col("key").alias("b"), F.col("row").alias("rb")), "b")
+    placed = materialize(placed, "dedup-placed")
+    texts = among(rows.select(row, F.col("text").cast("string").alias("text")), row, placed.select(F.explode(F.array("ra", "rb"))).distinct())
+    texts = materialize(texts, "dedup-texts")
 
     def run(iterator):
         for a, b, x, y in vec.batches(iterator, "a", "b", "x", "y"):
             keep = pa.array([similar(s, t) for s, t in zip(_sets(x, k), _sets(y, k))], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+    both = placed.join(texts.select(F.col(row).alias("rb"), F.col("text").alias("y")), "rb").join(texts.select(F.col(row).alias("ra"), F.col("text").alias("x")), "ra")
     out = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dedup-edges")
-    discard(pairs, texts)
+    discard(pairs, placed, texts)
     return out
 
 
@@ -348,29 +394,69 @@ def _near_fingerprints(keyed: DataFrame, node: int) -> DataFrame:
     return keyed.join(to, "fp").where("a != key").select("a", F.col("key").alias("b"))
 
 
-def _may_be_similar(c: str, x: str, y: str):
-    """No pair of sets of ``x`` and ``y`` shingles with ``c`` common ones in their prefixes is similar unless this holds.
+def _may_meet():
+    """No two sets with a common shingle at places ``ix`` and ``iy`` are similar unless this holds.
 
-    One of the two prefixes ends first in the order; of the set it belongs to, only what follows the prefix can be
-    common besides the ``c``. Similar sets have 4/9 of ``x + y`` in common.
+    What is common before that place stands in the prefixes of both, hence in lists that aren't done: it is one of the
+    ``ex`` of the one set and of the ``ey`` of the other. So is what is common after it in both prefixes, one of ``fx``
+    and ``fy``; one prefix ends first, and of its set only the rest can be common besides. Similar sets have 4/9 of
+    ``nx + ny`` in common, so at most 1/9 is in one of them only.
     """
-    return F.expr(f"9 * ({c} + greatest((4 * {x} + 4) div 5, (4 * {y} + 4) div 5) - 1) >= 4 * ({x} + {y})")
+    return F.expr(
+        f"5 * nx >= 4 * ny and 5 * ny >= 4 * nx and 9 * ({' + '.join(f'bit_count({q}x ^ {q}y)' for q in ODD)}) <= nx + ny"
+        " and 9 * (least(ex, ey) + least(nx - ix, ny - iy, least(fx, fy) + greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5))) >= 4 * (nx + ny)"
+    )
+
+
+def _may_be_similar():
+    """No two sets with ``m`` common shingles in their prefixes, the last at ``ix`` and ``iy``, are similar unless this holds.
+
+    Besides the ``m`` only what follows the last can be common. One of the two prefixes ends first in the order; of the
+    set it belongs to, only what follows the prefix can be.
+    """
+    return F.expr("9 * (m - 1 + least(nx - ix, ny - iy, greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5))) >= 4 * (nx + ny)")
+
+
+def _posts(sets: DataFrame) -> DataFrame:
+    """(s, key, i): each prefix shingle that several sets have, and its place in each."""
+    shared = sets.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s")
+    shared = materialize(shared, "dedup-shared")
+    # most shingles are in one prefix only: a bitmap of the others' remainders spares the join nearly all of these
+    buckets = min(BITMAPS, 1 + shared.count() * 16 // 32768)
+    held = materialize(_bitmaps(shared.select((F.pmod("s", F.lit(buckets * 32768)) + 1).alias("k")).distinct()), "dedup-bits")
+    packed = np.zeros((buckets, 4096), np.uint8)
+    for r in held.toLocalIterator():
+        packed[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    discard(held)
+    sent = sets.sparkSession.sparkContext.broadcast(packed.ravel())
+
+    def run(iterator):
+        bits = sent.value
+        for keys, prefixes in vec.batches(iterator, "key", "prefix"):
+            s, ends = prefixes.values.to_numpy(), prefixes.offsets.to_numpy()
+            at = s[ends[0] : ends[-1]] % np.int64(len(bits) * 8)
+            sizes = np.diff(ends)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            i = keep - (ends[:-1] - ends[0])[owner[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(s[ends[0] + keep]), keys.take(pa.array(owner[keep])), pa.array(i.astype(np.int32))], ["s", "key", "i"])
+
+    posts = materialize(sets.select("key", "prefix").mapInArrow(run, "s long, key long, i int").join(shared, "s"), "dedup-posts")
+    discard(shared)
+    return posts
 
 
 def similar_sets(rows: DataFrame, row: str, sets: DataFrame, k: int, node: int = NODE) -> DataFrame:
     """(key, root) of the components of all pairs of shingle sets with Jaccard similarity 0.8 or more.
 
     Groups whose fingerprints are near are joined first, through the index. Keys that share a prefix shingle are
-    candidates for the rest. While their lists are long, a round draws ``HEADS`` heads for each list by hashes of keys
-    and tests each key against those that it shares most shingles with, which joins most of a group; lists within one
-    component are done. At last all pairs that aren't joined yet are tested.
+    candidates for the rest, unless the shingles' places in the two sets rule the pair out. While lists are long, a round draws ``HEADS`` heads for each long list by hashes of keys and tests each key against those that it shares
+    most shingles with, which joins most of a group; lists within one component are done. At last all pairs that aren't
+    joined yet are tested.
     """
     spark = rows.sparkSession
-    named = materialize(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp")), "dedup-keys")
-    listed = sets.select("key", "n", F.explode("prefix").alias("s"))
-    shared = materialize(listed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("s"), "dedup-shared")
-    posts = materialize(listed.join(shared, "s").select("s", "key", "n").distinct(), "dedup-posts")
-    discard(shared)
+    named = materialize(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), *[F.first(q).alias(q) for q in ODD]), "dedup-keys")
+    posts = _posts(among(sets, "row", named.select("row")))
     n_keys, n_posts = named.count(), posts.count()
     new = verified(_near_fingerprints(named.select("key", "fp"), node), named, rows, row, k)
     roots, turn, last = spark.createDataFrame([], "key long, root long"), 0, False
@@ -383,34 +469,37 @@ def similar_sets(rows: DataFrame, row: str, sets: DataFrame, k: int, node: int =
         if last:
             discard(posts, named)
             return roots
-        placed = posts.drop("c", "r").join(roots, "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("c"))
+        placed = posts.join(roots, "key", "left").select("s", "key", "i", F.coalesce("root", "key").alias("c"))
         open_lists = placed.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.count(F.lit(1)).alias("own"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("own > 1")
         open_lists = materialize(open_lists, "dedup-open")
-        left = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        # of a prefix only what stands in open lists can be common with another component, so a set of n with k such
-        # shingles shares ceil(0.8 n) - 1 + k at most
-        most = F.expr("(4 * n + 4) div 5 - 1") + F.count(F.lit(1)).over(Window.partitionBy("key"))
-        live = materialize(placed.join(open_lists.select("s"), "s", "left_semi").withColumn("r", most), "dedup-live")
-        discard(posts, open_lists)
+        left, longest = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.max("m")).first()
+        # of what stands before and after a shingle only what is in open lists can be common with another component
+        before = F.row_number().over(Window.partitionBy("key").orderBy("i")) - 1
+        live = placed.join(open_lists.select("s", "m"), "s").withColumn("e", before)
+        live = live.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("key")) - F.col("e") - 1)
+        live = materialize(live.join(named.select("key", "n", *ODD), "key"), "dedup-live")
+        discard(posts)
         posts = live
-        last = left <= 4 * n_posts or turn > 0 and found * 1000 < n_keys
-        may = F.expr("5 * nx >= 4 * ny and 5 * ny >= 4 * nx and 9 * least(rx, ry) >= 4 * (nx + ny)")
+        last = (longest or 0) <= LONG or turn > 0 and ((left or 0) <= LONG // 2 * n_posts or found * 1000 < n_keys)
+        places = ("i", "e", "f", *ODD)
         if last:
-            x, y = (live.select("s", *[F.col(q).alias(q + z) for q in ("key", "n", "c", "r")]) for z in "xy")
-            met = x.join(y, "s").where((F.col("keyx") < F.col("keyy")) & (F.col("cx") != F.col("cy")) & may)
+            x, y = (live.select("s", *[F.col(q).alias(q + z) for q in ("key", "n", "c", *places)]) for z in "xy")
+            met = x.join(y, "s").where((F.col("keyx") < F.col("keyy")) & (F.col("cx") != F.col("cy")) & _may_meet())
         else:
             # a draw by keys is likely to fall in the largest component, which the rest is then tested against
-            draws = [F.min_by(F.struct("c", "key", "n", "r"), F.struct(F.xxhash64("key", F.lit(turn * HEADS + d)), "key")).alias(f"h{d}") for d in range(HEADS)]
-            heads = live.groupBy("s").agg(*draws)
-            met = live.join(heads, "s").select("key", "n", "c", "r", F.explode(F.array_distinct(F.array(*[f"h{d}" for d in range(HEADS)]))).alias("h")).where("c != h.c")
-            met = met.select(F.col("h.key").alias("keyx"), F.col("h.n").alias("nx"), F.col("h.r").alias("rx"), F.col("key").alias("keyy"), F.col("n").alias("ny"), F.col("r").alias("ry")).where(may)
-        pairs = met.groupBy("keyx", "keyy", "nx", "ny").agg(F.count(F.lit(1)).alias("m")).where(_may_be_similar("m", "nx", "ny"))
+            draws = [F.min_by(F.struct("c", "key", "n", *places), F.struct(F.xxhash64("key", F.lit(turn * HEADS + d)), "key")).alias(f"h{d}") for d in range(HEADS)]
+            crowded = live.where(F.col("m") > LONG)
+            heads = crowded.groupBy("s").agg(*draws)
+            met = crowded.join(heads, "s").select("key", "n", "c", *places, F.explode(F.array_distinct(F.array(*[f"h{d}" for d in range(HEADS)]))).alias("h")).where("c != h.c")
+            met = met.select(*[F.col(f"h.{q}").alias(q + "x") for q in ("key", "n", *places)], *[F.col(q).alias(q + "y") for q in ("key", "n", *places)]).where(_may_meet())
+        pairs = met.groupBy("keyx", "keyy", "nx", "ny").agg(F.count(F.lit(1)).alias("m"), F.max("ix").alias("ix"), F.max("iy").alias("iy")).where(_may_be_similar())
         if last:
             pairs = pairs.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))
         else:
             best = pairs.groupBy(F.col("keyy").alias("b")).agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "keyx")), asc=False), 1, HEADS).alias("x"))
             pairs = best.select(F.explode("x.keyx").alias("a"), "b")
         new, turn = verified(pairs, named, rows, row, k), turn + 1
+        discard(open_lists)
 
 
 def deduplicate(docs: DataFrame, k: int = SHINGLE, node: int = NODE) -> DataFrame:
@@ -431,4 +520,4 @@ def deduplicate(docs: DataFrame, k: int = SHINGLE, node: int = NODE) -> DataFram
     discard(sets)
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").select("root", F.col("x.row").alias("best"))
     drop = placed.join(best, "root").where("row != best").select(F.col("row").alias(row))
-    return rows.join(drop, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return among(rows, row, drop, inside=False).select(*[F.col(f"`{c}`") for c in docs.columns])

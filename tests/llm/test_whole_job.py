@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from brute import AZ, BLANK_WORD
 
@@ -82,3 +83,40 @@ def test_deduplicate_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = [(1, a), (2, b), (3, c), (4, None), (None, "only a null id here now")]
     assert kept(sim.deduplicate(df)) == sorted((i is None, i or 0, t or "") for i, t in want)
+
+
+def test_deduplicate_sets_inside_others_at_the_threshold(spark):
+    rows = []
+    for i in range(40):
+        w = [f"u{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(w[:84])), (2 * i + 1, " ".join(w))]  # 80 of 100 shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept(sim.deduplicate(df)) == jaccard_kept(rows) == kept(df.where("doc_id % 2 = 0"))
+
+
+def test_rows_are_taken_without_a_shuffle_of_them(spark, monkeypatch):
+    ids = [0, 1, 32767, 32768, 32769, (7 << 33) + 5]
+    rows = spark.createDataFrame([(x, f"t{x}") for x in [*ids, 2, 3 << 33, (7 << 33) + 6]], "row_key long, text string")
+    wanted = spark.createDataFrame([(x,) for x in ids], "k long")
+    for _ in range(2):
+        got = [sorted(r["row_key"] for r in sim.among(rows, "row_key", wanted, inside).collect()) for inside in (True, False)]
+        assert got == [sorted(ids), [2, 3 << 33, (7 << 33) + 6]]
+        monkeypatch.setattr(sim, "BITMAPS", 0)  # the way for more bitmaps than can be broadcast
+    monkeypatch.undo()
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sim.deduplicate(df)
+        assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+        assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_odd_bits_differ_in_no_more_places_than_sets():
+    rng = random.Random(3)
+    for n in (0, 1, 40, 900):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = {x for x in a if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(5)}
+        x, y = (sim.odd_bits(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
