@@ -282,9 +282,10 @@ def _common(rows: DataFrame, row: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(iterator):
         for (text,) in vec.batches(iterator, "text"):
-            for s in _sets(text, k):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
+            data, offsets = vec.text_bytes(text)
+            for i, j in vec.chunks(offsets):
+                s = np.concatenate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
 
     part = rows.where(F.pmod(F.xxhash64(row), F.lit(16)) == 0).select(F.col("text").cast("string").alias("text"))
     least = max(3, part.count() // 20_000)
@@ -316,22 +317,24 @@ def with_prefixes(rows: DataFrame, row: str, k: int) -> DataFrame:
     def run(iterator):
         names, ranks = common.value
         for at_row, ids, text in vec.batches(iterator, "row", "doc_id", "text"):
-            keys, fps, sizes, odds, prefixes = [], [], [], [], []
-            for s in _sets(text, k):
-                keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
-                fps.append(fingerprint(s))
-                sizes.append(len(s))
-                odds.append(odd_bits(s))
-                if len(s) and len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    s = s[np.argsort(np.where(names[at] == s, ranks[at], -1), kind="stable")]
-                prefixes.append(s[: len(s) - -(-SIMILAR[0] * len(s) // SIMILAR[1]) + 1].view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))
-            words = np.array(odds, np.uint64).reshape(-1, len(ODD)).T
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps, sizes, *words)]
-            yield pa.RecordBatch.from_arrays([at_row, ids, *longs, lists], ["row", "doc_id", "key", "fp", "n", *ODD, "prefix"])
+            data, offsets = vec.text_bytes(text)
+            for i, j in vec.chunks(offsets):  # small batches out: the lists of one chunk are held at a time
+                keys, fps, sizes, odds, prefixes = [], [], [], [], []
+                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
+                    keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
+                    fps.append(fingerprint(s))
+                    sizes.append(len(s))
+                    odds.append(odd_bits(s))
+                    if len(s) and len(names):
+                        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                        s = s[np.argsort(np.where(names[at] == s, ranks[at], -1), kind="stable")]
+                    prefixes.append(s[: len(s) - -(-SIMILAR[0] * len(s) // SIMILAR[1]) + 1].view(np.int64).copy())
+                at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))
+                words = np.array(odds, np.uint64).reshape(-1, len(ODD)).T
+                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps, sizes, *words)]
+                yield pa.RecordBatch.from_arrays([at_row.slice(i, j - i), ids.slice(i, j - i), *longs, lists], ["row", "doc_id", "key", "fp", "n", *ODD, "prefix"])
 
     texts = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"row long, doc_id long, key long, fp long, n long, {', '.join(f'{q} long' for q in ODD)}, prefix array<long>")
