@@ -24,6 +24,13 @@ class Tables:
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows over all cores: a table of small rows fits one row group of a file, which one task would read and work on."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
+
+
 def query(oracle: str | None = None):
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import image as I
 from tessera.functions import mesh as G
 
-from .base import query
+from .base import dealt, query
 
 SIZE = "(p_size % 5 + 9)"
 
@@ -15,7 +15,7 @@ SIZE = "(p_size % 5 + 9)"
 def _plain(t, height: int = 10):
     """A plain image for each part, with a red that grows with the part's size."""
     s = F.col("p_size").cast("int")
-    return t.part.select("p_partkey", s.alias("s"), I.create_image_rgb(s % 5 + 9, F.lit(height), s, F.lit(40), F.lit(200)).alias("img"))
+    return dealt(t.part.select("p_partkey", "p_size")).select("p_partkey", s.alias("s"), I.create_image_rgb(s % 5 + 9, F.lit(height), s, F.lit(40), F.lit(200)).alias("img"))
 
 
 def _ramp(t):
