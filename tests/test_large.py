@@ -16,7 +16,7 @@ def tasks(spark, name: str) -> int:
     return registry.queries()[name](spark, FOLDER).rdd.getNumPartitions()
 
 
-@pytest.mark.parametrize("name", ["image_changes", "image_measures"])
+@pytest.mark.parametrize("name", ["image_changes", "image_measures", "image_files_and_tensors"])
 def test_images_are_made_by_all_cores(spark, name):
     assert tasks(spark, name) >= spark.sparkContext.defaultParallelism
 
