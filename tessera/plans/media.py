@@ -71,7 +71,7 @@ def image_files_and_tensors(t):
 @query("""SELECT p_partkey, 16000 AS rate, 0.1 AS dur, 1600 AS n, 800 AS half, 8 AS env, 32 AS ww, 240000 AS mel, true AS mono FROM part WHERE p_size = 7""")
 def waveforms(t):
     """A second in ten of a tone for every part of size 7, through a WAV file and back."""
-    rows = t.part.where("p_size = 7")
+    rows = dealt(t.part.where("p_size = 7").select("p_partkey"))
     wav = I._mapped("binary", lambda k: I.write_wav(16000, I.np.sin(I.np.arange(1600) * (0.01 + k % 7 / 100)) * 0.5), "p_partkey")
     d = rows.select("p_partkey", wav.alias("x")).select("p_partkey", I.audio_decode("x").alias("x"))
     mono = I.audio_samples(16000, "x")

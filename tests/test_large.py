@@ -33,3 +33,21 @@ def test_equal_rows_are_worked_out_once(spark):
     for i, x in enumerate(got):
         assert x is None if i % 5 == 0 else x.split()[:4] == [str(i % 3), repr([0.0, -0.0][i % 2]), str(float(i % 2)), "True"]
     assert {int(x.split()[4]) for x in got if x} == set(range(1, 7))
+
+
+def test_large_results_are_sent_in_parts(spark):
+    rows = spark.range(0, 40, 1, 1)
+    many = I._mapped("array<float>", lambda k: np.full(240_000, k), "id", size=960_000)
+    got = rows.select("id", many.alias("v")).select("id", F.size("v").alias("n"), F.get("v", F.lit(9)).alias("x"))
+    assert [(r["n"], r["x"]) for r in got.orderBy("id").collect()] == [(240_000, float(k)) for k in range(40)]
+    assert "[parts(" in got._jdf.queryExecution().toString()
+    assert "[parts(" in registry.queries()["waveforms"](spark, FOLDER)._jdf.queryExecution().toString()
+
+
+def test_silent_frames_are_as_computed():
+    v = np.random.default_rng(1).normal(size=1600) * 0.3
+    out, wide = I.log_mel(v, 80), np.pad(np.pad(v, (0, 480_000 - 1600)), 200, mode="reflect")
+    at = np.arange(3000)[:, None] * 160 + np.arange(400)
+    power = np.abs(np.fft.rfft(wide[at] * np.hanning(401)[:-1], axis=1)) ** 2
+    full = np.log10(np.maximum(I.mel_filters(80, 16_000, 400) @ power.T, 1e-10))
+    assert np.allclose(out, (np.maximum(full, full.max() - 8) + 4) / 4, atol=1e-6) and I.log_mel(np.zeros(5), 80).shape == (80, 3000)
