@@ -73,7 +73,7 @@ def random_choice(a, seed: int | None = None) -> Column:
 def array_resize_2d(a, source: tuple[int, int], goal: tuple[int, int]) -> Column:
     """Bilinear resampling of a flat row-major array of height times width values."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         (h, w), (gh, gw) = source, goal
         y, x = (np.clip((np.arange(g) + 0.5) * n / g - 0.5, 0, n - 1) for g, n in ((gh, h), (gw, w)))

@@ -14,8 +14,14 @@ from tessera.functions import vector as V
 from .base import query
 
 
+def _near(x, digits: int = 5):
+    """Rounded; what is below zero keeps its sign where it is rounded to zero, as in SQL."""
+    x = x.cast("double")
+    return F.when(x < 0, -F.abs(F.round(x, digits))).otherwise(F.round(x, digits) + 0.0)
+
+
 def _short(a, digits: int = 5):
-    return F.transform(a, lambda x: F.round(x.cast("double"), digits) + 0.0)
+    return F.transform(a, lambda x: _near(x, digits))
 
 
 @query("""SELECT n_nationkey, lower(n_name) AS folded, chr(65 + n_nationkey::INT) AS ch, contains(n_name, 'AN') AS has, n_name[1:2] || '**' || n_name[4:] AS over, CASE WHEN regexp_full_match(n_name, '[a-z_][a-z0-9_]*') THEN n_name ELSE '"' || n_name || '"' END AS ident,
@@ -76,7 +82,7 @@ def array_shapes(t):
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     small = L.array_resize_2d(F.slice(e, 1, 4), (2, 2), (1, 1))
     return rows.select("vec_id", F.size(e).alias("n"), _short(F.flatten(F.array(e, e))).alias("fl"), F.cardinality(e).alias("card"), F.array_repeat(F.lit(7.0), 3).alias("rep"), L.array_shape(e).alias("shape"), L.array_ndims(e).alias("nd"),
-        (F.array_sort(F.shuffle(e)) == F.array_sort(e)).alias("sh"), F.array_contains(e, L.random_choice(e, 3)).alias("rc"), F.round(F.get(small, F.lit(0)).cast("double"), 5).alias("r2"))
+        (F.array_sort(F.shuffle(e)) == F.array_sort(e)).alias("sh"), F.array_contains(e, L.random_choice(e, 3)).alias("rc"), _near(F.get(small, F.lit(0))).alias("r2"))
 
 
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS norm1, list_transform(e, lambda x: round(x / n, 5)) AS l2, (list_position(e, list_max(e)) - 1)::INT AS amax, (list_position(e, list_min(e)) - 1)::INT AS amin, round(list_min(e), 5) AS mi, round(list_max(e), 5) AS ma, round(list_stddev_pop(e), 5) AS sd,
@@ -86,7 +92,7 @@ def vector_shapes(t):
     e = F.col("e")
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     return rows.select("vec_id", F.round(V.vec_norm(e), 5).alias("norm1"), _short(V.l2_normalize(e)).alias("l2"), V.argmax(e).alias("amax"), V.argmin(e).alias("amin"), F.round(V.vec_min(e), 5).alias("mi"), F.round(V.vec_max(e), 5).alias("ma"), F.round(V.vec_std(e), 5).alias("sd"),
-        _short(V.vec_reverse(e)).alias("rev"), _short(V.vec_sort(e)).alias("srt"), F.size(V.vec_unique(e)).alias("uni"), _short(V.vec_pad(F.concat(e, F.array(F.lit(0.0))), 2 + 64)).alias("pad"), _short(V.vec_repeat(e, 2)).alias("rep"), V.vec_any(e).alias("any"), V.vec_all(e).alias("all_"), F.round(V.vec_product(F.slice(e, 1, 4)), 8).alias("prod"))
+        _short(V.vec_reverse(e)).alias("rev"), _short(V.vec_sort(e)).alias("srt"), F.size(V.vec_unique(e)).alias("uni"), _short(V.vec_pad(F.concat(e, F.array(F.lit(0.0))), 2 + 64)).alias("pad"), _short(V.vec_repeat(e, 2)).alias("rep"), V.vec_any(e).alias("any"), V.vec_all(e).alias("all_"), _near(V.vec_product(F.slice(e, 1, 4)), 8).alias("prod"))
 
 
 @query("""SELECT vec_id, [0.0, 0.5, 1.0] AS lin, [0.0, 2.0, 4.0] AS ara, [1.0, 2.5] AS v, CASE WHEN e[1] < 0 THEN 0 ELSE 1 END AS near, list_transform(e[1:3], lambda x: round(x - 0.5, 5)) AS pr, list_transform(range(1, len(e) + 1), lambda i: round(e[i] + 2 * e[len(e) + 1 - i], 5)) AS axpy, list_transform(e, lambda x: round(3 * x, 5)) AS scl,
