@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from tessera import dialect
@@ -102,8 +102,22 @@ def join_anti(t):
 
 @query("""SELECT s.s_suppkey, count(*) AS richer FROM supplier s JOIN customer c ON c.c_nationkey = s.s_nationkey AND c.c_acctbal > s.s_acctbal GROUP BY s.s_suppkey""")
 def join_theta(t):
-    s, c = t.supplier, t.customer
-    return s.join(c, (c.c_nationkey == s.s_nationkey) & (c.c_acctbal > s.s_acctbal)).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("richer"))
+    """Counted by ranks, as the pairs grow with the square of a nation: those of richer bands, and those that go before in a supplier's own band."""
+    c = t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("k"), F.col("s_acctbal").cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+    cuts = sorted(set(c.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001)))
+    band = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x <= F.col("v"))).alias("band")
+    held = c.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).select("k", "v", band, "n")
+    asked = s.select("k", "v").distinct().select("k", "v", band, F.lit(None).cast("long").alias("n"))
+    above = held.groupBy("k", "band").agg(F.sum("n").alias("n"))
+    above = above.select("k", (F.col("band") - 1).alias("top"), F.sum("n").over(Window.partitionBy("k").orderBy(F.desc("band"))).alias("above"))
+    first = Window.partitionBy("k", "band").orderBy(F.desc("v"), F.col("n").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = asked.unionByName(held).withColumn("near", F.coalesce(F.sum("n").over(first), F.lit(0))).where("n IS NULL").drop("n")
+    # bands without customers take the count of the next richer one
+    spans = above.groupBy("k").agg(F.collect_list(F.struct("top", "above")).alias("spans"))
+    more = F.coalesce(F.array_max(F.transform(F.filter("spans", lambda x: x["top"] >= F.col("band")), lambda x: x["above"])), F.lit(0))
+    ranked = ranked.join(spans, "k").select("k", "v", (F.col("near") + more).alias("richer"))
+    return s.join(ranked, ["k", "v"]).groupBy("s_suppkey").agg(F.sum("richer").alias("richer")).where("richer > 0")
 
 
 @query("""SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'""")
