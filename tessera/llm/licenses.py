@@ -145,6 +145,25 @@ def _best_block(seg: Column, own: Column, must: Column, bar: Column, size: Colum
     return F.coalesce(F.array_max(F.transform(starts, held)), F.lit(0))
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", _words(F.col("text")).alias("w"))
+
+
+def _base_labels() -> Column:
+    return F.filter(F.array(*[F.when(F.size(F.get("p", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
+
+
+def _base_columns() -> list[Column]:
+    flat = F.flatten("p")
+    return [F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"), F.array_max(flat).cast("long").alias("last_word"), F.array_join(F.array_sort(F.array_distinct(_base_labels())), ",").alias("base_labels")]
+
+
+def phrases(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word and base_labels as ``scan`` has them, in one pass and without its join."""
+    places = F.array(*[_places(F.col("w"), p) for p, _ in PHRASES])
+    return _split(docs).select("doc_id", F.size("w").cast("long").alias("n_words"), places.alias("p")).select("doc_id", "n_words", *_base_columns())
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row.
 
@@ -152,7 +171,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     """
     spark = docs.sparkSession
     templates = [t for t in templates if template_words(t.text)]
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", _words(F.col("text")).alias("w"))
+    rows = _split(docs)
     vocabulary = sorted({w for t in templates for w in template_words(t.text)})
     n = frequencies(rows, vocabulary)
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
@@ -168,7 +187,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     places = F.array(*[_places(words, p) for p, _ in PHRASES])
     found = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), places.alias("p"), chunks.alias("chunks"))
     found = materialize(found, "licenses")
-    base = F.filter(F.array(*[F.when(F.size(F.get("p", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
+    base = _base_labels()
     if templates:
         segs = found.select("row", F.explode("chunks").alias("seg"))
         pairs = segs.select("row", "seg", F.explode(F.array_intersect("seg", may)).alias("w")).join(_template_table(spark, templates, order, threshold), "w")
@@ -186,6 +205,5 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     labels = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.size(flat) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select(
-        "doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"), F.array_max(flat).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
+        "doc_id", "n_words", *_base_columns(), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )

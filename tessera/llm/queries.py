@@ -62,7 +62,7 @@ def quality_base(spark, sf_dir: str) -> DataFrame:
 
 def license_base(spark, sf_dir: str) -> DataFrame:
     """The phrases of op7."""
-    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    return licenses.phrases(read_table(spark, sf_dir, "documents"))
 
 
 def secret_base(spark, sf_dir: str) -> DataFrame:
