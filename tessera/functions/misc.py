@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,41 +161,45 @@ def random_categorical(weights: list[float], seed: int | None = None) -> Column:
 
 
 def _drawn(kind: str, draw, seed):
-    """Draws by numpy, seeded by the seed and a hash that differs from row to row."""
+    """Draws by numpy, a batch at a time, seeded by the seed and hashes of the batch's first rows."""
 
-    @F.pandas_udf(kind)
-    def run(row: pd.Series) -> pd.Series:
-        return pd.Series([draw(np.random.default_rng([0 if seed is None else seed, int(r) & 0xFFFFFFFF])) for r in row])
+    @F.arrow_udf(kind)
+    def run(row: pa.Array) -> pa.Array:
+        first = [int(r) & 0xFFFFFFFFFFFFFFFF for r in row.slice(0, 4).to_pylist()]
+        v = np.asarray(draw(np.random.default_rng([0 if seed is None else seed, *first]), len(row)), np.int32 if kind == "int" else np.float32)
+        if v.ndim == 1:
+            return pa.array(v)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
 
     row = F.monotonically_increasing_id() if seed is not None else F.floor(F.rand() * (1 << 31))
     return run(F.xxhash64(row))
 
 
 def random_beta(alpha: float, beta: float, seed: int | None = None) -> Column:
-    return _drawn("float", lambda g: g.beta(alpha, beta), seed)
+    return _drawn("float", lambda g, n: g.beta(alpha, beta, n), seed)
 
 
 def random_poisson(lam: float, seed: int | None = None) -> Column:
-    return _drawn("int", lambda g: int(g.poisson(lam)), seed)
+    return _drawn("int", lambda g, n: g.poisson(lam, n), seed)
 
 
 def random_truncated_normal(mean: float, stddev: float, low: float, high: float, seed: int | None = None) -> Column:
-    def draw(g):
-        while True:
-            x = g.normal(mean, stddev, 64)
-            x = x[(x >= low) & (x <= high)]
-            if len(x):
-                return float(x[0])
+    def draw(g, n):
+        out, left = np.empty(n), np.arange(n)
+        while len(left):
+            out[left] = g.normal(mean, stddev, len(left))
+            left = left[~((out[left] >= low) & (out[left] <= high))]
+        return out
 
     return _drawn("float", draw, seed)
 
 
 def random_vector(length: int, seed: int | None = None) -> Column:
-    return _drawn("array<float>", lambda g: g.random(length), seed)
+    return _drawn("array<float>", lambda g, n: g.random((n, length)), seed)
 
 
 def random_normal_vector(length: int, mean: float, stddev: float, seed: int | None = None) -> Column:
-    return _drawn("array<float>", lambda g: g.normal(mean, stddev, length), seed)
+    return _drawn("array<float>", lambda g, n: g.normal(mean, stddev, (n, length)), seed)
 
 
 # Paths

@@ -11,7 +11,7 @@ from tessera.functions import string as S
 from tessera.functions import temporal as D
 from tessera.functions import vector as V
 
-from .base import query
+from .base import dealt, query
 
 
 def _near(x, digits: int = 5):
@@ -168,7 +168,7 @@ def point_clouds(t):
 @query("""SELECT count(*) AS n, true AS r1, true AS r2, true AS r3, true AS r4, true AS r5, true AS r6, true AS r7, true AS r8, true AS r9, true AS r10 FROM orders""")
 def random_ranges(t):
     """Every draw lies in its range, and means lie where they should."""
-    drawn = t.orders.select(
+    drawn = dealt(t.orders.select("o_orderkey")).select(
         M.random(1, 6, 1).alias("a"), M.random_boolean(0.5, 2).alias("b"), M.random_exponential(2.0, 3).alias("c"), M.random_normal(1.0, 0.5, 4).alias("d"), M.random_log_normal(0.0, 0.5, 5).alias("e"), M.random_categorical([1.0, 1.0, 2.0], 6).alias("f"), M.random_beta(2.0, 2.0, 7).alias("g"), M.random_poisson(3.0, 8).alias("h"),
         M.random_truncated_normal(0.0, 1.0, -1.0, 1.0, 9).alias("i"), F.size(M.random_vector(4, 10)).alias("j"), F.size(M.random_normal_vector(3, 0.0, 1.0, 11)).alias("k"),
     )

@@ -51,3 +51,35 @@ def test_silent_frames_are_as_computed():
     power = np.abs(np.fft.rfft(wide[at] * np.hanning(401)[:-1], axis=1)) ** 2
     full = np.log10(np.maximum(I.mel_filters(80, 16_000, 400) @ power.T, 1e-10))
     assert np.allclose(out, (np.maximum(full, full.max() - 8) + 4) / 4, atol=1e-6) and I.log_mel(np.zeros(5), 80).shape == (80, 3000)
+
+
+@pytest.mark.parametrize("name", ["random_ranges", "meshes"])
+def test_rows_are_dealt_to_all_cores(spark, name):
+    assert "REPARTITION_BY_NUM" in registry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
+
+
+def test_theta_join_makes_no_pairs(spark, tmp_path):
+    nan, g = float("nan"), np.random.default_rng(3)
+    value = lambda n: [None if x < -4 else nan if x > 4 else float(x) * 0.0 if x == 0 else float(x) for x in g.integers(-5, 6, n)]
+    nation = lambda n: [None if k == 3 else int(k) for k in g.integers(0, 5, n)]
+    c, s = list(zip(nation(300), value(300))), list(zip(range(40), nation(40), value(40)))
+    s += [(7, 0, 1.0), (99, 0, nan)]
+    spark.createDataFrame(c, "c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(s, "s_suppkey int, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    above = lambda x, y: x is not None and y is not None and y == y and (x != x or x > y)
+    want: dict = {}
+    for key, k, v in s:
+        n = sum(k is not None and k == kc and above(vc, v) for kc, vc in c)
+        want[key] = want.get(key, 0) + n
+    df = registry.queries()["join_theta"](spark, str(tmp_path))
+    assert {r["s_suppkey"]: r["richer"] for r in df.collect()} == {k: n for k, n in want.items() if n}
+    assert "acctbal" not in "".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_license_base_does_without_the_join(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["license_base"](spark, FOLDER)
+    want = __spark_entry__.queries()["op7_license_scan"](spark, FOLDER).select(df.columns)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.exceptAll(want).isEmpty() and want.exceptAll(df).isEmpty()
