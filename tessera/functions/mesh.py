@@ -9,10 +9,10 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .image import _mapped
 from .misc import _coordinate, point3d, point_cloud_bbox_max, point_cloud_bbox_min
 
 POINT = "struct<x:double,y:double,z:double>"
@@ -24,6 +24,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def _let(x: Column, f) -> Column:
+    """A function of a column that is worked out once, however often the function uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _points(a) -> list[dict]:
     return [{"x": float(x), "y": float(y), "z": float(z)} for x, y, z in a]
 
@@ -32,17 +37,6 @@ def _array(points) -> np.ndarray:
     return np.array([(p["x"], p["y"], p["z"]) for p in points], float).reshape(-1, 3)
 
 
-def _mapped(kind: str, f, *columns) -> Column:
-    """A function of plain values over columns; a null in any gives null. Structs come as dicts."""
-
-    @F.pandas_udf("binary" if kind == "binary" else kind)
-    def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(first, *rest)], dtype=object)
-
-    # arrays wrap structs, as a lone struct would arrive as a frame
-    return run(*map(_c, columns))
-
-
 # Clouds
 
 
@@ -140,15 +134,18 @@ def point_cloud_from_points(points, width: int, height: int) -> Column:
 
 def pc_filter_depth_percentile(cloud: Column, lower: float, upper: float) -> Column:
     """Points whose depth lies between two quantiles of the cloud's own, with straight lines between ranks."""
-    z = F.array_sort(F.transform(cloud, _coordinate("z")))
 
-    def quantile(q: float) -> Column:
-        at = (F.size(z) - 1) * F.lit(q)
-        low, high = F.get(z, F.floor(at).cast("int")), F.get(z, F.ceil(at).cast("int"))
-        return low + (high - low) * (at - F.floor(at))
+    def bounds(z: Column) -> Column:
+        def quantile(q: float) -> Column:
+            at = (F.size(z) - 1) * F.lit(q)
+            low, high = F.get(z, F.floor(at).cast("int")), F.get(z, F.ceil(at).cast("int"))
+            return low + (high - low) * (at - F.floor(at))
+
+        return F.struct(quantile(lower).alias("low"), quantile(upper).alias("high"))
 
-    bounds = F.array(quantile(lower), quantile(upper))
-    return F.filter(cloud, lambda p: p["z"].between(F.get(bounds, F.lit(0)), F.get(bounds, F.lit(1))))
+    # sorted once, not for each point
+    span = _let(F.array_sort(F.transform(cloud, _coordinate("z"))), bounds)
+    return _let(F.struct(cloud.alias("cloud"), span.alias("span")), lambda v: F.filter(v["cloud"], lambda p: p["z"].between(v["span"]["low"], v["span"]["high"])))
 
 
 def pc_voxel_consensus(cloud, cell: float, votes: int) -> Column:

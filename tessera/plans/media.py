@@ -85,7 +85,7 @@ def meshes(t):
     tilt = F.expr("transform(sequence(1, 12), i -> CAST(i AS DOUBLE))")
     k = [1.0, 0.0, 1.5, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0]
     g, slope = G.point_cloud_from_depth_orthographic_intrinsics(depth, 4, 3, k), G.point_cloud_from_depth_orthographic_intrinsics(tilt, 4, 3, k)
-    d = t.part.select("p_partkey", "p_size", g.alias("g"), slope.alias("s"))
+    d = dealt(t.part.select("p_partkey", "p_size")).select("p_partkey", "p_size", g.alias("g"), slope.alias("s"))
     d = d.withColumn("m", G.mesh_from_organized(F.col("g")))
     g, m = F.col("g"), F.col("m")
     first = lambda p: F.get(p, F.lit(0))

@@ -83,3 +83,14 @@ def test_license_base_does_without_the_join(spark):
     want = __spark_entry__.queries()["op7_license_scan"](spark, FOLDER).select(df.columns)
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.exceptAll(want).isEmpty() and want.exceptAll(df).isEmpty()
+
+
+def test_depths_are_sorted_once_a_cloud(spark):
+    from tessera.functions import mesh as G
+
+    rows = spark.createDataFrame([([float(x) for x in range(21)],), ([5.0, 1.0, 9.0],), ([],), (None,)], "d array<double>")
+    cloud = F.transform("d", lambda z: F.struct(z.alias("x"), z.alias("y"), z.alias("z")))
+    df = rows.select("d", F.transform(G.pc_filter_depth_percentile(cloud, 0.05, 0.95), lambda p: p["z"]).alias("kept"))
+    for r in df.collect():
+        assert r["kept"] == (None if r["d"] is None else [z for z in r["d"] if np.quantile(r["d"], 0.05) <= z <= np.quantile(r["d"], 0.95)])
+    assert df._jdf.queryExecution().analyzed().toString().count("array_sort") == 1
